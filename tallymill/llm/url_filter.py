@@ -2,9 +2,8 @@
 
 The trees are trained, in numpy, from labelled URLs: here those that the rules decide (block is 1). Features: lengths of
 URL, host and path, depth, labels of the host, digit ratios, entropy of the characters, parameters, punctuation, and
-statistics of the host's suffix. Suffixes are hashed into a fixed number of buckets and counted over all rows; a bucket's
-block rate comes from labelled URLs of one half (by hash of the URL), the trees from the other half, so no row sees its own
-label. The fit takes a bounded, deterministic sample (``SAMPLE``); every URL is judged.
+the block rate of the host's suffix. Suffixes are hashed into a fixed number of buckets, whose rates come from all labelled
+URLs of one half (by hash of the URL), the trees from the other half, so no row sees its own label. The fit takes a bounded, deterministic sample (``SAMPLE``); every URL is judged.
 
 Null URLs, and those without ``://``, have empty host and path and fit no rule; the trees judge them by what is there.
 Without labels of both classes the trees allow everything. Repeated rows are judged each; an empty table gives an empty
@@ -134,7 +133,7 @@ def boost(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH,
 
 @dataclass
 class Model:
-    suffixes: np.ndarray  # (SUFFIXES, 2): block rate among labelled rows, mean length of a URL over all rows
+    suffixes: np.ndarray  # (SUFFIXES, 1): block rate among labelled rows, one half where none is labelled
     trees: Trees | None
 
     def blocked(self, urls: list[str], hosts: list[str], paths: list[str], buckets: np.ndarray) -> np.ndarray:
@@ -154,12 +153,12 @@ def train(rows: DataFrame, sample: int = SAMPLE) -> Model:
     """From parsed URLs; those with a rule are labelled."""
     half, block = F.pmod(F.xxhash64("url", F.lit(1)), F.lit(2)) == 0, F.col("rule.verdict") == "block"
     labelled = F.col("rule").isNotNull()
-    told = rows.groupBy("suffix").agg(F.avg(F.length("url")).alias("chars"), F.count_if(labelled & half).alias("known"), F.count_if(labelled & half & block).alias("bad")).collect()
+    told = rows.groupBy("suffix").agg(F.count_if(labelled & half).alias("known"), F.count_if(labelled & half & block).alias("bad")).collect()
     known, bad = (sum(r[k] for r in told) for k in ("known", "bad"))
     odds = (known - bad + 1) / (bad + 1)  # what a blocked row weighs, so that both classes weigh the same
-    suffixes = np.tile([0.5, 0.0], (SUFFIXES, 1))
+    suffixes = np.full((SUFFIXES, 1), 0.5)
     for r in told:
-        suffixes[r["suffix"]] = (r["bad"] * odds + 5) / (r["bad"] * odds + r["known"] - r["bad"] + 10), r["chars"]
+        suffixes[r["suffix"], 0] = (r["bad"] * odds + 5) / (r["bad"] * odds + r["known"] - r["bad"] + 10)
     few = rows.where(labelled & ~half).select("url", "host", "path", "suffix", block.alias("y"), F.xxhash64("url", F.lit(2)).alias("h")).orderBy("h", "url").limit(sample).collect()
     y = np.array([r["y"] for r in few], np.float64)
     if len(set(y)) < 2:
