@@ -109,28 +109,47 @@ def balanced_cuts(sizes: list[int], shards: int, capacity: int) -> list[int]:
     return cuts
 
 
+def apart(ranges: list[Range], shards: int) -> tuple[list[Range], list[Range]]:
+    """Groups larger than an equal share of what is left get a shard each; (those, the rest)."""
+    alone: list[Range] = []
+    rest, left = ranges, sum(r.size for r in ranges)
+    while shards - len(alone) > 1:
+        big = [r for r in rest if r.size * (shards - len(alone)) > left]
+        if not big or not all(r.single for r in big):
+            break
+        big = sorted(big, key=lambda r: (-r.size, r.low))[: shards - len(alone) - 1]
+        alone += big
+        left -= sum(r.size for r in big)
+        taken = {r.low for r in alone}
+        rest = [r for r in ranges if r.low not in taken]
+    return alone, rest
+
+
+def spans_of(again: list[Range], ranges: list[Range]) -> list[tuple[int, int]]:
+    """The ranges as few spans of hashes, neighbours joined."""
+    at, spans = {r.low: i for i, r in enumerate(ranges)}, []
+    last = -2
+    for r in again:
+        if at[r.low] == last + 1:
+            spans[-1] = (spans[-1][0], r.high)
+        else:
+            spans.append((r.low, r.high))
+        last = at[r.low]
+    return spans
+
+
 def plan(rows: DataFrame, shards: int) -> tuple[list[int], list[int | None], list[int], int]:
     """Hashes with a shard of their own, then the last hash of each further shard but the last, rows by shard, capacity."""
     bits, ranges = FIRST_BITS, histogram(rows, FIRST_BITS)
     while True:
-        alone: list[Range] = []
-        rest, left = ranges, shards
-        while left > 1 and (big := [r for r in rest if r.size * left > sum(x.size for x in rest)]) and all(r.single for r in big):
-            alone += sorted(big, key=lambda r: (-r.size, r.low))[: left - 1]
-            taken = {r.low for r in alone}
-            rest, left = [r for r in ranges if r.low not in taken], shards - len(alone)
-        again = [r for r in rest if not r.single and r.size * left > sum(x.size for x in rest)] or unsure(rest, left)
+        alone, rest = apart(ranges, shards)
+        left, total = shards - len(alone), sum(r.size for r in rest)
+        again = [r for r in rest if not r.single and r.size * left > total] or unsure(rest, left)
         if not again:
             break
         bits = max(0, bits - FINER_BITS)
-        finer, spans = [], []
-        for r in again:
-            if spans and not any(spans[-1][1] < x.low < r.low for x in rest):
-                spans[-1] = (spans[-1][0], r.high)
-            else:
-                spans.append((r.low, r.high))
-        finer = histogram(rows, bits, spans)
-        ranges = sorted([r for r in ranges if not any(a <= r.low <= b for a, b in spans)] + finer, key=lambda r: r.low)
+        finer, replaced = histogram(rows, bits, spans_of(again, ranges)), {r.low for r in again}
+        ranges = sorted([r for r in ranges if r.low not in replaced] + finer, key=lambda r: r.low)
     sizes = [r.size for r in rest]
     capacity = smallest_capacity(sizes, left) if rest else 0
     cuts = balanced_cuts(sizes, left, capacity)
