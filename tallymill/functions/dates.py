@@ -19,10 +19,9 @@ def bucket_label(ts: Column, interval: str = "day") -> Column:
     return F.date_format(ts, "yyyy-MM-dd")
 
 
-def days_in_month(year: Column, month: Column) -> Column:
+def first_of_month(year: Column, month: Column) -> Column:
     """Null for a month that there is not."""
-    one = F.lit(1)
-    return F.dayofmonth(F.last_day(F.try_make_timestamp(year, month, one, F.lit(0), F.lit(0), F.lit(0)).cast("date")))
+    return F.try_make_timestamp(year, month, F.lit(1), F.lit(0), F.lit(0), F.lit(0)).cast("date")
 
 
 def day_month_year(day: Column, month: Column, year: Column) -> Column:

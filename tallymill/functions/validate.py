@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .dates import day_month_year, days_in_month
+from .dates import day_month_year, first_of_month
 from .let import let
 from .money import amount_of, words_to_number
 
@@ -87,27 +87,27 @@ def date(x: Column, reference: Column) -> Column:
 
 
 def _date_parts(v: Column) -> Column:
-    parts = F.split(v, r"[/\-.]")
-    numeric = (F.size(parts) == 3) & F.forall(parts, lambda p: F.rlike(p, F.lit("^[0-9]+$")))
-    number = lambda i: F.when(numeric, F.try_element_at(parts, F.lit(i)).try_cast("int"))
-    year = F.when(number(3) < 100, number(3) + 2000).otherwise(number(3))
-    return F.struct((F.size(parts) == 3).alias("three"), numeric.alias("numeric"), number(1).alias("day"), number(2).alias("month"), year.alias("year"))
+    def read(parts: Column) -> Column:
+        numbers = F.when(F.rlike(v, F.lit(r"^[0-9]+[/\-.][0-9]+[/\-.][0-9]+$")), F.transform(parts, lambda p: p.try_cast("int")))
+        return let(numbers, lambda n: F.struct((F.size(parts) == 3).alias("three"), n.isNotNull().alias("numeric"), n[0].alias("day"), n[1].alias("month"), (n[2] + F.when(n[2] < 100, 2000).otherwise(0)).alias("year")))
+
+    return let(F.split(v, r"[/\-.]"), read)
 
 
 def _on_calendar(d: Column) -> Column:
-    good_month = d["month"].between(1, 12)
-    return F.struct(day_month_year(d["day"], d["month"], d["year"]).alias("shown"), good_month.alias("good_month"), F.when(good_month, days_in_month(d["year"], d["month"])).alias("most"))
+    return F.struct(day_month_year(d["day"], d["month"], d["year"]).alias("shown"), d["month"].between(1, 12).alias("good_month"), first_of_month(d["year"], d["month"]).alias("first"))
 
 
 def _date(v: Column, d: Column, c: Column, reference: Column) -> Column:
-    good = c["good_month"] & d["day"].between(1, c["most"])
-    age = F.datediff(reference, F.when(good, F.try_to_date(c["shown"], "dd/MM/yyyy")))
+    most = F.dayofmonth(F.last_day(c["first"]))
+    good = c["good_month"] & d["day"].between(1, most)
+    age = F.datediff(reference, F.when(good, F.date_add(c["first"], d["day"] - 1)))
     errors = _texts(
         F.when(v == "", "Date field is empty"),
         F.when((v != "") & ~d["three"], said("Invalid date format '%s'. Expected DD/MM/YYYY", v)),
         F.when(d["three"] & ~d["numeric"] & (v != ""), said("Date contains non-numeric components: '%s'", v)),
         F.when(d["numeric"] & ~c["good_month"], said("Invalid month (%d). Must be 1-12", d["month"])),
-        F.when(c["good_month"] & ~good, said("Invalid day (%d) for month %d/%d. Max days is %d", d["day"], d["month"], d["year"], c["most"])),
+        F.when(c["good_month"] & ~good, said("Invalid day (%d) for month %d/%d. Max days is %d", d["day"], d["month"], d["year"], most)),
     )
     warnings = let(age, lambda n: _texts(
         F.when(n > VALID_DAYS, said(f"Stale cheque: issued %d days ago on %s, exceeding {VALID_DAYS}-day validity", n, c["shown"])),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import validate as V
+from ..functions.let import let
 from ..schemas import CORE_FIELDS
 
 
@@ -102,13 +103,18 @@ def triage(documents: DataFrame, reference: Column | None = None, words: str = "
     plain = F.array_compact(F.array(F.when(unsigned, F.format_string("Signature unconfirmed in designated signatory area (confidence: %.2f)", sign)))).cast("array<string>")
     reasons += [missing, plain, _tagged(apart, "[CONSISTENCY] ")]
     fatal += [missing, F.array_compact(F.array(amount, signature)).cast("array<string>")]
-    rows = rows.withColumns({"reasons": F.concat(nothing, *reasons), "n_fatal": F.size(F.concat(nothing, *fatal)), "amount_value": out("amount", "value").try_cast("double")})
-    n = F.size("reasons")
-    status = F.when(F.col("n_fatal") > 0, "INVALID").when(n > 0, "REVIEW_REQUIRED").when(F.col("overall_confidence") >= V.TIER_HIGH, "VERIFIED").otherwise("PROCESSED")
-    rows = rows.withColumn("status", status)
-    urgent = (F.coalesce("amount_value", F.lit(0.0)) >= V.TRIAGE_HIGH_VALUE) | (n >= 3)
-    priority = F.when(F.col("status") == "INVALID", "HIGH").when(F.col("status") == "REVIEW_REQUIRED", F.when(urgent, "HIGH").otherwise("MEDIUM")).otherwise("LOW")
-    return rows.select("doc_id", "status", priority.alias("priority"), F.col("status").isin("INVALID", "REVIEW_REQUIRED").alias("review_required"), "overall_confidence", "n_fatal", n.alias("n_reasons"), "reasons")
+    facts = F.struct(F.concat(nothing, *reasons).alias("reasons"), F.size(F.concat(nothing, *fatal)).alias("n_fatal"), out("amount", "value").try_cast("double").alias("amount"))
+
+    def judged(f: Column) -> Column:
+        n = F.size(f["reasons"])
+        urgent = (F.coalesce(f["amount"], F.lit(0.0)) >= V.TRIAGE_HIGH_VALUE) | (n >= 3)
+        status = F.when(f["n_fatal"] > 0, "INVALID").when(n > 0, "REVIEW_REQUIRED").when(F.col("overall_confidence") >= V.TIER_HIGH, "VERIFIED").otherwise("PROCESSED")
+        priority = F.when(f["n_fatal"] > 0, "HIGH").when(n > 0, F.when(urgent, "HIGH").otherwise("MEDIUM")).otherwise("LOW")
+        return F.struct(status.alias("status"), priority.alias("priority"), ((f["n_fatal"] > 0) | (n > 0)).alias("review_required"), f["n_fatal"].alias("n_fatal"), n.alias("n_reasons"), f["reasons"].alias("reasons"))
+
+    # inline makes the verdict columns of their own, so filters on them above do not work the rules out again
+    made = rows.select("doc_id", "overall_confidence", F.inline(F.array(let(facts, judged))))
+    return made.select("doc_id", "status", "priority", "review_required", "overall_confidence", "n_fatal", "n_reasons", "reasons")
 
 
 def validation_rows(triaged: DataFrame) -> DataFrame:
