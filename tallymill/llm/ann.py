@@ -179,8 +179,8 @@ def prepared(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.where("vector is not null and id is not null")
 
 
-def build(rows: DataFrame, most_ids: int) -> DataFrame:
-    """The index: one row a shard, with vectors, the flat graph, and the ids of each node."""
+def build(rows: DataFrame, most_ids: int) -> tuple[DataFrame, int]:
+    """The index, one row a shard (vectors, the flat graph, and the ids of each node), and the number of shards of a dimension."""
     numbered = rows.withColumn("n", F.row_number().over(Window.partitionBy("vector").orderBy("id"))).where(F.col("n") <= most_ids)
     nodes = settle(numbered.groupBy("dim", "vector").agg(F.sort_array(F.collect_set("id")).alias("ids")))
     shards = max(LEAST_SHARDS, -(-nodes.count() // SHARD_ROWS))
@@ -193,17 +193,18 @@ def build(rows: DataFrame, most_ids: int) -> DataFrame:
         return pd.DataFrame({"dim": [key[0]], "shard": [key[1]], "vectors": [vectors.tobytes()], "level0": [level0], "upper": [upper], "lists": [lists], "entry": [entry], "ids": [np.concatenate(ids).tobytes()], "sizes": [np.array([len(x) for x in ids], np.int32).tobytes()]})
 
     dealt = nodes.withColumn("shard", F.pmod(F.xxhash64("vector"), F.lit(shards)).cast("int")).repartition("dim", "shard")
-    return settle(dealt.groupBy("dim", "shard").applyInPandas(one, "dim int, shard int, vectors binary, level0 binary, upper binary, lists binary, entry int, ids binary, sizes binary"))
+    made = dealt.groupBy("dim", "shard").applyInPandas(one, "dim int, shard int, vectors binary, level0 binary, upper binary, lists binary, entry int, ids binary, sizes binary")
+    return settle(made), shards
 
 
 def search(table: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", width: int = SEARCH_WIDTH) -> DataFrame:
     """query_id, rank, id, score: the k nearest rows of each query row, itself left out."""
     rows = settle(prepared(table, id_col, vector_col))
-    index = build(rows, k + 1)
+    index, shards = build(rows, k + 1)
     queries = rows.where(is_query).dropDuplicates(["id"])
     blocks = max(1, -(-queries.count() // BLOCK_QUERIES))
     dealt = queries.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    asked = dealt.join(index.select("dim", F.col("shard").alias("at")), "dim").select("id", "vector", "dim", F.col("at").alias("shard"), "block")
+    asked = dealt.select("id", "vector", "dim", "block", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
     held = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def one(key: tuple, shard: pd.DataFrame, qs: pd.DataFrame) -> pd.DataFrame:
