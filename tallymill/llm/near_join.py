@@ -31,7 +31,7 @@ from .tables import map_parts, settle
 
 WORDS, THRESHOLD, RECALL, TREES, LONGEST = 5, 0.8, 0.999, 20, 8
 #: A block's classes and shingles at most (one class alone may have more), and columns of a matrix at once.
-BLOCK_ROWS, BLOCK_SHINGLES, COLUMNS = 256, 400_000, 16_384
+BLOCK_ROWS, BLOCK_SHINGLES, COLUMNS = 128, 400_000, 16_384
 KEEP_WORDS = 500_000
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 

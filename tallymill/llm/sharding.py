@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 
 from .tables import settle
 
-#: Bits of the hash that the first histogram leaves out, how many more each finer one has, and rows in a cell of slots.
-FIRST_BITS, FINER_BITS, CELL_ROWS = 48, 8, 4096
+#: Bits of the hash that the first histogram leaves out, how many more each finer one has, spans of hashes that it may cover,
+#: and rows in a cell of slots.
+FIRST_BITS, FINER_BITS, SPANS, CELL_ROWS = 48, 8, 64, 4096
 
 
 @dataclass
@@ -126,16 +127,13 @@ def apart(ranges: list[Range], shards: int) -> tuple[list[Range], list[Range]]:
 
 
 def spans_of(again: list[Range], ranges: list[Range]) -> list[tuple[int, int]]:
-    """The ranges as few spans of hashes, neighbours joined."""
-    at, spans = {r.low: i for i, r in enumerate(ranges)}, []
-    last = -2
-    for r in again:
-        if at[r.low] == last + 1:
-            spans[-1] = (spans[-1][0], r.high)
-        else:
-            spans.append((r.low, r.high))
-        last = at[r.low]
-    return spans
+    """At most SPANS spans of hashes that hold these ranges, parted where most other ranges lie between; what else they hold
+    is summed again too, which changes nothing."""
+    at = {r.low: i for i, r in enumerate(ranges)}
+    numbers = [at[r.low] for r in again]
+    widest = sorted(range(1, len(again)), key=lambda k: numbers[k - 1] - numbers[k])[: SPANS - 1]
+    edges = [0, *sorted(widest), len(again)]
+    return [(again[a].low, again[b - 1].high) for a, b in zip(edges[:-1], edges[1:])]
 
 
 def plan(rows: DataFrame, shards: int) -> tuple[list[int], list[int | None], list[int], int]:
@@ -148,8 +146,10 @@ def plan(rows: DataFrame, shards: int) -> tuple[list[int], list[int | None], lis
         if not again:
             break
         bits = max(0, bits - FINER_BITS)
-        finer, replaced = histogram(rows, bits, spans_of(again, ranges)), {r.low for r in again}
-        ranges = sorted([r for r in ranges if r.low not in replaced] + finer, key=lambda r: r.low)
+        spans = spans_of(again, ranges)
+        starts = [a for a, _ in spans]
+        outside = [r for r in ranges if (k := bisect_right(starts, r.low) - 1) < 0 or r.low > spans[k][1]]
+        ranges = sorted(outside + histogram(rows, bits, spans), key=lambda r: r.low)
     sizes = [r.size for r in rest]
     capacity = smallest_capacity(sizes, left) if rest else 0
     cuts = balanced_cuts(sizes, left, capacity)
