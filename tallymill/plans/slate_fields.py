@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import geometry, money, normalize, validate
-from ..operators import evaluate, mutate, review, tokens
+from ..operators import evaluate, ledger, mutate, review, tokens
 from ..streaming import ingest
 from .slate import QUERIES, slate
 
@@ -238,6 +238,36 @@ def ingest_gates(orders):
     return orders.select(name.alias("name"), F.coalesce(validate.reject_reason(name, k % 20 * 1000000, k % 1000, F.col("o_custkey") % 500), F.lit("")).alias("reason"))
 
 
+@slate(f"""WITH p AS ({PAIRS}) SELECT doc_id, field_name, upper(method) || '_EXTRACTION' AS stage, CASE method WHEN 'ocr' THEN 'ocr-1' ELSE 'recognizer-1' END AS model_name, CASE WHEN method = 'none' THEN '' ELSE value END AS raw_output, ext AS raw_confidence FROM ({FUSED})""")
+def prediction_rows(orders):
+    p = orders.sparkSession.sql(PAIRS.replace("FROM orders", "FROM {orders}"), orders=orders)
+    key = ["doc_id", "field_name"]
+    ocr = p.where("has_o").select(*key, F.col("ot").alias("text"), F.col("ot").alias("raw_text"), F.col("oc").alias("confidence"), validate.tier(F.col("oc")).alias("tier"), "valid")
+    seen = p.where("has_r").select(*key, F.col("rt").alias("text"), F.col("rc").alias("confidence"), F.lit(True).alias("success"))
+    return review.prediction_rows(review.fuse(p.select(*key, F.col("det").alias("detection_confidence")), ocr, seen))
+
+
+@slate("SELECT d.id AS doc_id, f.field_name, TRUE AS missing FROM documents_ d CROSS JOIN (VALUES ('amount'), ('date'), ('name')) f(field_name) WHERE NOT EXISTS (SELECT 1 FROM fields_ x WHERE x.cheque_id = d.id AND x.field_name = f.field_name)")
+def missing_fields(documents_, fields_):
+    docs = documents_.select(F.col("id").alias("doc_id"))
+    there = fields_.select(F.col("cheque_id").alias("doc_id"), "field_name", F.lit(False).alias("missing"))
+    return review.fill_missing(there, docs, ("amount", "date", "name")).where("missing is null").select("doc_id", "field_name", F.lit(True).alias("missing"))
+
+
+@slate("SELECT cheque_id, field_name, max_by(normalized_value, id) AS value, max_by(confidence, id) AS confidence FROM fields_ GROUP BY 1, 2")
+def field_maps(fields_):
+    made = ledger.field_map(fields_)
+    return made.select("cheque_id", F.explode("fields").alias("field_name", "v")).select("cheque_id", "field_name", F.col("v.value").alias("value"), F.col("v.confidence").alias("confidence"))
+
+
+@slate("""SELECT image_id, class_id, pred_id, round_even(x * 1.5 + 10, 0) AS sx, round_even(y * 2.5 + 20, 0) AS sy, greatest(x - 8, 0.0) AS cx, least(x + w + 8, 50.0) AS cr, w * h AS area FROM (SELECT DISTINCT * FROM boxes_)""")
+def box_transforms(boxes_):
+    b = F.col("box")
+    rows = _boxed(boxes_.distinct(), ["image_id", "class_id", "pred_id"])
+    moved, cut = geometry.scaled(b, F.lit(1.5), F.lit(2.5), F.lit(10), F.lit(20)), geometry.clamped(b, F.lit(50.0), F.lit(40.0), 8)
+    return rows.select("image_id", "class_id", "pred_id", moved["xmin"].alias("sx"), moved["ymin"].alias("sy"), cut["xmin"].alias("cx"), cut["xmax"].alias("cr"), geometry.area(b).alias("area"))
+
+
 # Changes
 
 KEYED = "(SELECT cheque_id, field_name, min(id) AS id, min_by(normalized_value, id) AS normalized_value, min_by(confidence, id) AS confidence, min_by(extraction_confidence, id) AS extraction_confidence FROM fields_ WHERE field_name <> 'other' GROUP BY 1, 2)"
