@@ -69,6 +69,29 @@ def test_refined_ranges_give_the_same_capacity(spark, monkeypatch):
     assert fine[3] == coarse[3] and max(fine[2]) - min(fine[2]) < 30
 
 
+@pytest.mark.parametrize("groups", [[0.03], [0.03, 0.03, 0.03], [0.005, 0.01, 0.02, 0.04, 0.035]])
+def test_large_groups_leave_few_ranges_to_sum_again(spark, monkeypatch, groups):
+    n = 120_000
+    rng = np.random.default_rng(5)
+    hashes = rng.integers(-(1 << 63), 1 << 63, n, dtype=np.int64)
+    sizes = rng.integers(20, 400, n)
+    for k, share in enumerate(groups):
+        sizes[k] = int(share * sizes[len(groups) :].sum() / (1 - sum(groups)))
+    import pandas as pd
+
+    rows = spark.createDataFrame(pd.DataFrame({"hash": hashes, "size": sizes})).cache()
+    monkeypatch.setattr(sharding, "FIRST_BITS", 50)
+    counts, real = [], sharding.histogram
+    monkeypatch.setattr(sharding, "histogram", lambda *args: (out := real(*args), counts.append(len(out)))[0])
+    alone, lasts, _, capacity = sharding.plan(rows, 24)
+    rows.unpersist()
+    assert sum(counts[1:]) < n / 6
+    order = np.argsort(hashes)
+    assert not alone and capacity == sharding.smallest_capacity(sizes[order].tolist(), 24)
+    cuts = sharding.balanced_cuts(sizes[order].tolist(), 24, capacity)
+    assert lasts == [int(hashes[order][c - 1]) for c in cuts]
+
+
 def _sized(df):
     return df.select((F.octet_length("text") + 8).cast("long").alias("size"), F.xxhash64("text").alias("hash"))
 
