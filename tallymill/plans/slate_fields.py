@@ -452,8 +452,10 @@ def mean_average_precision(boxes_, truths_):
 
 
 @slate("SELECT field_id, string_agg(text, ' ' ORDER BY line_num, word_num, text) AS text, round(avg(conf), 4) AS mean_confidence, round(min(conf), 4) AS min_confidence, count(*) AS tokens FROM tokens_ GROUP BY field_id")
-def token_rollup(tokens_):
-    return tokens.token_rollup(tokens_)
+def token_rollup(conversations):
+    # whole turns, where the SQL's role tokens_ has their first 40 characters
+    conf = ((F.col("conv_id") * 7 + F.col("turn") * 3) % 129).cast("double") / 128
+    return tokens.token_rollup(conversations.select(F.col("conv_id").alias("field_id"), F.col("turn").alias("line_num"), F.lit(1).alias("word_num"), "text", conf.alias("conf")))
 
 
 @slate("SELECT user_id AS field_id, string_agg(substr(event_type, 1, 1), '' ORDER BY event_id, substr(event_type, 1, 1)) AS text, round(avg(value), 4) AS mean_confidence FROM events GROUP BY user_id")

@@ -61,6 +61,11 @@ def test_precision_over_all_ten_thresholds(spark, duck, sf_dir, name):
     assert got == wanted
 
 
+def test_token_rollup_takes_whole_turns(spark, duck, sf_dir):
+    got, wanted = whole(spark, duck, sf_dir, "token_rollup", "substr(text, 1, 40)", "text")
+    assert got == wanted
+
+
 def test_entry(spark):
     import __spark_entry__
 
