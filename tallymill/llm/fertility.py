@@ -27,6 +27,7 @@ from .pieces import Pieces, model_encoder, slices, vocabulary_path
 from .tables import map_parts
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
+WORD_END = re.compile(r"(?<=[^\x20\x09-\x0D])[\x20\x09-\x0D]")
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 MEASURES = {"n_words": "long", "word_chars": "long", "n_symbols": "long", "n_dup_lines": "long", "n_repeat_words": "long", "n_tokens": "long", "chars_per_token": "double", "byte_share": "double", "entropy": "double", "script": "string"}
@@ -129,7 +130,7 @@ class Measurer:
     def long(self, text: str) -> tuple[int, int, int, np.ndarray]:
         """A long text slice by slice; its words are told apart by 64-bit hashes."""
         n, chars, hashes, histogram = 0, 0, [], np.zeros(len(self.is_byte), np.int64)
-        for part in slices(text, 1 << 17):
+        for part in slices(text, 1 << 17, WORD_END):
             words = WORD.findall(part)
             n, chars = n + len(words), chars + sum(map(len, words))
             hashes.append(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)))

@@ -37,10 +37,10 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def slices(text: str, chars: int = SLICE_CHARS) -> Iterator[str]:
-    """The whole text in parts of about ``chars`` characters, cut only where chunks are cut."""
+def slices(text: str, chars: int = SLICE_CHARS, cut: re.Pattern = CUT) -> Iterator[str]:
+    """The whole text in parts of about ``chars`` characters, cut only where chunks are cut, or where ``cut`` matches."""
     start = 0
-    while len(text) - start > chars and (m := CUT.search(text, start + chars)):
+    while len(text) - start > chars and (m := cut.search(text, start + chars)):
         yield text[start : m.start()]
         start = m.start()
     yield text[start:] if start else text

@@ -37,6 +37,16 @@ def test_small_memory_changes_nothing(texts):
             assert a.tolist() == b.tolist()
 
 
+def test_words_of_long_texts_end_only_at_ascii_white_space():
+    m = fertility.measurer(vocabulary_path("piece_bpe_32k.model"))
+    for odd in "\u00a0\u3000\x85":
+        text = "a bc " * 26_214 + f"100{odd}km{odd}" * 40 + " the end" * 30
+        assert len(text) > 1 << 17
+        words = fertility.WORD.findall(text)
+        assert m.of([text], [False])[0][:2] == (len(words), sum(map(len, words)))
+    assert m.of(["x\u3000" * 70_000], [False])[0][0] == 1
+
+
 def tiktoken_encoding():
     import tiktoken
 
