@@ -8,7 +8,6 @@ documents. The stages' rules for nulls, empty texts and repeated rows are those
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tallymill.llm import fertility, near_join, packing, toxicity
 from tallymill.llm.tables import settle
@@ -25,9 +24,8 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 8: of each class of linked documents the one with the smallest id stays."""
-    stays = near_join.join(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("stays"))
-    return docs.join(stays, F.col("doc_id").eqNullSafe(F.col("stays")), "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """Operator 8: of each class of linked documents the one with the smallest id stays, whether ids are null or repeated."""
+    return near_join.reject(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,8 +10,9 @@ copies nor one of near copies makes a row per pair. The only links that can be m
 and through no others.
 
 Result: id, class_id (the smallest id of the document's connected component of links), n_links (the other documents at or
-above the threshold, copies included). Null and empty texts, and texts without a word, link to nothing. Ids are expected to
-tell texts apart; a row that is repeated whole counts as a copy. An empty table gives an empty table; other columns are
+above the threshold, copies included). Null and empty texts, and texts without a word, link to nothing. Ids may
+be null or repeated: texts tell classes apart, a null id counts as the largest, and a row that is repeated whole counts as a
+copy. An empty table gives an empty table; other columns are
 ignored.
 """
 
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -32,7 +33,7 @@ from .tables import map_parts, settle
 WORDS, THRESHOLD, RECALL, TREES, LONGEST = 5, 0.8, 0.999, 20, 8
 #: A block's classes and shingles at most (one class alone may have more), and columns of a matrix at once.
 BLOCK_ROWS, BLOCK_SHINGLES, COLUMNS = 128, 400_000, 16_384
-KEEP_WORDS = 500_000
+KEEP_WORDS, ROOT_PARTS = 500_000, 64
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
@@ -214,25 +215,56 @@ def verify(members: DataFrame, threshold: float) -> DataFrame:
     return rows.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j").mapInArrow(groups, "rep long, links long, root long, whole boolean")
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, recall: float = RECALL, trees: int = TREES) -> DataFrame:
-    """id, class_id and n_links of every document."""
-    prints = settle(fingerprints(docs, id_col, text_col, trees, prefix_length(threshold, trees, LONGEST, recall)))
-    prints = prints.withColumn("key", F.when(F.col("n") > 0, F.col("key")).otherwise(F.concat("key", F.col("id").cast("string").cast("binary"))))
-    classes = settle(prints.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.max("n").alias("n")))
-    firsts = prints.where("n > 0").join(classes.select("key", F.col("rep").alias("id")), ["key", "id"])
-    met = settle(firsts.select(F.col("id").alias("rep"), F.explode("prefixes").alias("prefix")))
+def digest(text_col: str) -> Column:
+    return F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit(""))))
+
+
+def named_classes(docs: DataFrame, id_col: str, text_col: str, threshold: float, recall: float, trees: int) -> tuple[DataFrame, DataFrame]:
+    """(id, key) of every document, and (key, id, rep, root, class_id, n_links) of every class; rep numbers the classes in the
+    order of their smallest ids, null last, so that the least of a component is its root."""
+    prints = fingerprints(docs, id_col, text_col, trees, prefix_length(threshold, trees, LONGEST, recall)).withColumn("row", F.monotonically_increasing_id())
+    prints = settle(prints)
+    own = F.coalesce(F.col("id").cast("string"), F.lit("null")).cast("binary")
+    prints = prints.withColumn("key", F.when(F.col("n") > 0, F.col("key")).otherwise(F.concat("key", own)))
+    grouped = prints.groupBy("key").agg(F.min("id").alias("id"), F.min("row").alias("row"), F.count("*").alias("copies"), F.max("n").alias("n"))
+    classes = settle(grouped.orderBy(F.asc_nulls_last("id"), "key").withColumn("rep", F.monotonically_increasing_id()))
+    firsts = prints.where("n > 0").select("key", "row", "prefixes").join(classes.select("key", "row", "rep"), ["key", "row"])
+    met = settle(firsts.select("rep", F.explode("prefixes").alias("prefix")))
     stars = met.groupBy("prefix").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("prefix", "low")
     found = connected_components(met.join(stars, "prefix").where("rep <> low").select("rep", "low").distinct(), "rep", "low")
     grouped = found.withColumnRenamed("node", "rep").join(classes.where("n > 0"), "rep")
     blocks = grouped.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / F.lit(BLOCK_ROWS), F.sum("n") / F.lit(BLOCK_SHINGLES))).cast("int").alias("blocks"))
-    members = grouped.join(blocks, "component").select("rep", "key", "copies", "component", "blocks")
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.unhex(F.md5(text)).alias("key"), text.alias("text"))
-    checked = settle(verify(members.join(texts, ["rep", "key"]), threshold))
+    members = grouped.join(blocks, "component").select("rep", "key", F.col("id").alias("own"), "copies", "component", "blocks")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), digest(text_col).alias("digest"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    # a text may occur under null very often, and one of those is enough
+    texts = texts.where("id is not null").unionByName(texts.where("id is null").dropDuplicates(["digest"]))
+    checked = settle(verify(members.join(texts, (F.col("key") == F.col("digest")) & F.col("own").eqNullSafe(F.col("id"))), threshold))
     split = checked.where("not whole and rep <> root")
     links = checked.groupBy("rep").agg(F.sum("links").alias("links"), F.min("root").alias("root"))
     if split.limit(1).count():
-        links = links.join(connected_components(split, "rep", "root").withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.least("root", "component"))
-    named = classes.join(links, "rep", "left").select("key", F.coalesce("root", "rep").alias("class_id"), F.when(F.col("n") > 0, F.col("copies") - 1 + F.coalesce("links", F.lit(0))).otherwise(0).alias("n_links"))
+        links = links.join(connected_components(split, "rep", "root").withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.least("root", "component")).drop("component")
+    # a root may have very many classes, so they meet its id in parts
+    links = links.withColumn("part", F.pmod(F.xxhash64("rep"), F.lit(ROOT_PARTS)))
+    ids = links.select("root", "part").distinct().join(classes.select(F.col("rep").alias("root"), F.col("id").alias("class_id")), "root")
+    links = links.join(ids, ["root", "part"]).drop("part")
+    told = F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("class_id"))
+    n_links = F.when(F.col("n") > 0, F.col("copies") - 1 + F.coalesce("links", F.lit(0))).otherwise(0)
+    named = classes.join(links, "rep", "left").select("key", "id", "rep", F.coalesce("root", "rep").alias("root"), told.alias("class_id"), n_links.alias("n_links"))
+    return prints.select("id", "key"), named
+
+
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, recall: float = RECALL, trees: int = TREES) -> DataFrame:
+    """id, class_id and n_links of every document."""
+    prints, named = named_classes(docs, id_col, text_col, threshold, recall, trees)
     kind = docs.schema[id_col].dataType
-    return prints.select("id", "key").join(named, "key").select(F.col("id").cast(kind).alias(id_col), F.col("class_id").cast(kind).alias("class_id"), "n_links")
+    return prints.join(named.drop("id"), "key").select(F.col("id").cast(kind).alias(id_col), F.col("class_id").cast(kind).alias("class_id"), "n_links")
+
+
+def reject(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Of each connected component the document with the smallest id, null last, then the smallest digest of its text; documents
+    without a word all stay, and rows with equal id and text are one."""
+    _, named = named_classes(docs, id_col, text_col, THRESHOLD, RECALL, TREES)
+    stays = named.where(F.col("root") == F.col("rep")).select(F.col("id").alias("__id"), F.substring("key", 1, 16).alias("__stays"))
+    keyed = docs.withColumn("__key", digest(text_col))
+    same = (F.col("__key") == F.col("__stays")) & F.col(id_col).cast("long").eqNullSafe(F.col("__id"))
+    return keyed.join(stays, same, "left_semi").dropDuplicates([id_col, "__key"]).select(*docs.columns)

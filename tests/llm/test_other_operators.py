@@ -1,5 +1,6 @@
 """Sharding, chat, URL filter, neighbours, near-duplicate join and the pipeline against brute force and SQL."""
 
+import hashlib
 import zlib
 from collections import Counter, defaultdict
 
@@ -247,6 +248,20 @@ def test_near_join_edges(spark, monkeypatch):
     assert near_join.join(df.limit(0)).count() == 0
 
 
+def test_null_and_repeated_ids_lose_no_text(spark, sf_dir):
+    import corpus_pipeline
+
+    text = lambda k: " ".join(f"{k}w{i}" for i in range(60))
+    near = lambda k: text(k) + " end"
+    rows = [(None, text("a")), (None, near("a")), (None, text("b")), (None, text("b")), (None, text("c")), (9, near("c")), (7, text("d")), (7, text("e")), (8, near("e")), (None, ""), (None, None), (3, ""), (7, text("d"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in near_join.join(df).collect())
+    assert got == Counter({(None, None, 1): 4, (None, 9, 1): 1, (9, 9, 1): 1, (7, 7, 1): 3, (8, 7, 1): 1, (None, None, 0): 2, (3, 3, 0): 1})
+    stay = Counter((r["doc_id"], r["text"] or "") for r in corpus_pipeline.drop_near_copies(spark, df, sf_dir).collect())
+    first = min(text("a"), near("a"), key=lambda t: hashlib.md5(t.encode()).digest())
+    assert stay == Counter([(None, first), (None, text("b")), (9, near("c")), (7, text("d")), (7, text("e")), (None, ""), (3, "")])
+
+
 def test_prefix_is_as_long_as_recall_allows():
     d = near_join.prefix_length()
     meets = lambda n: 1 - (1 - 0.8**n) ** near_join.TREES
