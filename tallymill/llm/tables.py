@@ -8,12 +8,16 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows that a task turns into Python objects at once; their texts may be long.
 ROWS_AT_ONCE = 256
+#: Parts in which the rows of one key look something up.
+PARTS = 64
 
 
-def map_parts(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str, rows: int = ROWS_AT_ONCE) -> DataFrame:
+def map_parts(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str | StructType, rows: int = ROWS_AT_ONCE) -> DataFrame:
     """mapInArrow with bounded parts: ``make`` runs once in each task and gives what is applied to each part."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -41,3 +45,20 @@ def settle(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def look_up(rows: DataFrame, key: str, by: str, table: DataFrame) -> DataFrame:
+    """Rows with what ``table`` (one row a key) tells of their key, null where it tells nothing. A key may have very many rows,
+    so they meet its entry in parts, dealt by the column ``by``."""
+    part = free_name("part", rows, table)
+    rows = rows.withColumn(part, F.pmod(F.xxhash64(by), F.lit(PARTS)))
+    told = rows.select(key, part).distinct().join(table, key)
+    return rows.join(told, [key, part], "left").drop(part)
+
+
+def free_name(name: str, *tables: DataFrame) -> str:
+    """A column name that none of the tables has."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

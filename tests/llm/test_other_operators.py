@@ -248,6 +248,32 @@ def test_near_join_edges(spark, monkeypatch):
     assert near_join.join(df.limit(0)).count() == 0
 
 
+def test_near_join_in_many_tiles(spark, monkeypatch):
+    """Tiles and nodes far smaller than the groups, ids of text, a component that only chains of tiles hold together."""
+    monkeypatch.setattr(near_join, "TILE_ROWS", 16)
+    monkeypatch.setattr(near_join, "NODE_ROWS", 4)
+    rng = np.random.default_rng(6)
+    chain = [f"c{k}" for k in range(400)]
+    texts = {f"a{i:03d}": " ".join(chain[i * 3 : i * 3 + 100]) for i in range(90)}
+    base = [f"w{k}" for k in range(150)]
+    for i in range(70):
+        words = list(base)
+        for k in rng.integers(0, 150, 1 + i % 4):
+            words[k] = f"x{rng.integers(1000)}"
+        texts[f"b{i:03d}"] = " ".join(words)
+    df = spark.createDataFrame(list(texts.items()), "doc_id string, text string")
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in near_join.join(df).collect()}
+    assert got == brute_links(texts)
+
+
+def test_levels_stop_when_links_meet_deep(spark):
+    """Links far above the threshold prove the recall at a long prefix; links at the threshold ask for shorter ones."""
+    links = lambda s: spark.createDataFrame([(i, 0, s) for i in range(2000)], "a long, b long, alike double")
+    assert near_join.estimated_recall(links(0.99), 8, 0.8, near_join.TREES) >= near_join.RECALL
+    assert near_join.estimated_recall(links(0.8), 8, 0.8, near_join.TREES) < near_join.RECALL
+    assert near_join.estimated_recall(links(0.8).limit(0), 8, 0.8, near_join.TREES) < near_join.RECALL
+
+
 def test_null_and_repeated_ids_lose_no_text(spark, sf_dir):
     import corpus_pipeline
 
