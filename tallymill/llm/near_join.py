@@ -42,7 +42,7 @@ WORDS, THRESHOLD, RECALL, TREES, LONGEST = 5, 0.8, 0.9999, 24, 8
 #: Deviations that a likely link's signature may lie below the threshold.
 DEVIATIONS = 5.5
 #: A node's classes that are compared at once, and a tile's classes and shingles at most (one class alone may have more).
-NODE_ROWS, TILE_ROWS, TILE_SHINGLES = 8192, 4096, 2_000_000
+NODE_ROWS, TILE_ROWS, TILE_SHINGLES = 2048, 4096, 2_000_000
 #: Rows and columns of a matrix at once.
 BLOCK_ROWS, COLUMNS = 512, 16_384
 KEEP_WORDS = 500_000
@@ -249,7 +249,7 @@ def level(tries: DataFrame, classes: DataFrame, depth: int, threshold: float, tr
     asked = rows.groupBy("node").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("child").alias("least"), F.max("child").alias("most"), F.count("*").alias("count"))
     asked = asked.where((F.col("lo") < F.col("hi")) & fresh).select("node", F.ceil(F.col("count") / NODE_ROWS).cast("int").alias("parts"))
     own = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
-    held = rows.join(asked, "node").select("node", "rep", "component", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    held = look_up(rows, "node", "rep", asked).where("parts is not null").select("node", "rep", "component", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     held = held.join(classes.select("rep", "n", "signature"), "rep")
     held = held.select("node", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "component", "n", "signature")
     bound = likely(threshold, trees)
