@@ -2,16 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 
 
-def duplicate_groups(samples: DataFrame, hash_col: str = "image_hash", id_col: str = "sample_id") -> DataFrame:
-    """A row for each hash that several samples share, with the ids; samples without a hash are no duplicates."""
+def duplicate_groups(samples: DataFrame, hash_col: str = "image_hash", id_col: str = "sample_id", most: int = 10_000) -> DataFrame:
+    """A row for each hash that several samples share: how many, the first id, and the ids in order, for groups of at most
+    ``most`` samples. Larger ones have null there, their members are in ``duplicate_members``. Samples without a hash are no
+    duplicates. Counts come first, so only ids of groups that may be listed are gathered."""
     some = samples.where(F.coalesce(F.col(hash_col), F.lit("")) != "")
-    return some.groupBy(hash_col).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(id_col)).alias("ids")).where("n > 1")
+    counted = some.groupBy(hash_col).agg(F.count("*").alias("n"), F.min(id_col).alias("first_id")).where("n > 1")
+    listed = some.join(counted.where(F.col("n") <= most).select(hash_col), hash_col, "left_semi")
+    ids = listed.groupBy(hash_col).agg(F.array_sort(F.collect_list(id_col)).alias("ids"))
+    return counted.join(ids, hash_col, "left")
+
+
+def duplicate_members(samples: DataFrame, hash_col: str = "image_hash", id_col: str = "sample_id") -> DataFrame:
+    """(hash, id) of every sample whose hash others have too, whatever the size of its group."""
+    some = samples.where(F.coalesce(F.col(hash_col), F.lit("")) != "")
+    again = some.groupBy(hash_col).agg(F.count("*").alias("n")).where("n > 1").select(hash_col)
+    return some.join(again, hash_col, "left_semi").select(hash_col, id_col)
 
 
 def duplicate_summary(samples: DataFrame, hash_col: str = "image_hash", id_col: str = "sample_id") -> DataFrame:
@@ -44,15 +56,34 @@ def known_rows(incoming: DataFrame, known: DataFrame, hash_col: str = "image_has
     return incoming.join(known.select(hash_col).distinct(), hash_col, "left_semi")
 
 
-def ranked(rows: DataFrame, key: str, out: str = "rank", digits: int = 3) -> DataFrame:
-    """Adds the rank (from 1) of each row by a uniform hexadecimal key, without a window over the whole table: rows are
-    numbered within a prefix of the key, and prefixes (a bounded number of them) by their running count."""
-    prefix = F.substr(F.col(key), F.lit(1), F.lit(digits))
-    rows = rows.withColumn("__prefix", prefix)
-    counts = rows.groupBy("__prefix").agg(F.count("*").alias("__n"))
-    before = counts.select("__prefix", F.coalesce(F.sum("__n").over(Window.orderBy("__prefix").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    numbered = rows.withColumn("__own", F.row_number().over(Window.partitionBy("__prefix").orderBy(key)))
-    return numbered.join(before, "__prefix").withColumn(out, F.col("__own") + F.col("__before")).drop("__prefix", "__own", "__before")
+def ranked(rows: DataFrame, key: str, out: str = "rank", by: tuple[str, ...] = (), then: tuple[str, ...] = (), digits: int = 3) -> DataFrame:
+    """Adds the rank (from 1) of each row by a uniform hexadecimal key, within ``by`` if given, without a window over a whole
+    table or group: rows are numbered within a prefix of the key, and prefixes (a bounded number) by their running count."""
+    return numbered(rows, F.substr(F.col(key), F.lit(1), F.lit(digits)), (key, *then), out, by)
+
+
+def numbered(rows: DataFrame, part: Column, order: tuple[str, ...], out: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Adds running numbers by ``order`` within ``by``. ``part`` splits every group into a bounded number of pieces whose own
+    order is that of ``order``; only pieces are numbered by windows."""
+    rows = rows.withColumn("__part", part)
+    counts = rows.groupBy(*by, "__part").agg(F.count("*").alias("__n"))
+    upto = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(*by, "__part", F.coalesce(F.sum("__n").over(upto), F.lit(0)).alias("__before"))
+    own = F.row_number().over(Window.partitionBy(*by, "__part").orderBy(*order))
+    same = F.col("__part") == F.col("__at")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"__by_{c}"))
+    before = before.select(F.col("__part").alias("__at"), "__before", *[F.col(c).alias(f"__by_{c}") for c in by])
+    made = rows.withColumn("__own", own).join(before, same)
+    return made.withColumn(out, F.col("__own") + F.col("__before")).drop("__part", "__own", "__before", "__at", *[f"__by_{c}" for c in by])
+
+
+def range_part(rows: DataFrame, ordinal: str, parts: int = 1024) -> Column:
+    """The part of a numeric column's range that a row's value lies in, in the column's order."""
+    low, high = rows.agg(F.min(ordinal), F.max(ordinal)).first()
+    if low is None or low == high:
+        return F.lit(0)
+    return F.floor((F.col(ordinal).cast("double") - float(low)) / (float(high) - float(low)) * (parts - 1)).cast("int")
 
 
 def leak_free_split(samples: DataFrame, hash_col: str = "image_hash", seed: str = "42", train: float = 0.72, val: float = 0.14) -> DataFrame:
@@ -67,12 +98,14 @@ def leak_free_split(samples: DataFrame, hash_col: str = "image_hash", seed: str
 
 def stratified_split(samples: DataFrame, category: str = "category", source_split: str = "source_split", id_col: str = "sample_id", ratio: float = 0.10, seed: str = "42") -> DataFrame:
     """Carves a share of each category's train rows out as val; test stays, benchmark becomes evaluation."""
-    train = F.col(source_split) == "train"
-    own = Window.partitionBy(category, source_split).orderBy(F.sha2(F.concat(F.lit(seed), F.col(id_col).cast("string")), 256), id_col)
-    size = F.count("*").over(Window.partitionBy(category, source_split))
-    rows = samples.withColumn("__rank", F.row_number().over(own)).withColumn("__n", size)
-    split = F.when(train & (F.col("__rank") <= F.bround(F.col("__n") * ratio)), "val").when(F.col(source_split) == "benchmark", "evaluation").otherwise(F.col(source_split))
-    return rows.withColumn("split", split).drop("__rank", "__n")
+    by = (category, source_split)
+    rows = samples.withColumn("__key", F.sha2(F.concat(F.lit(seed), F.col(id_col).cast("string")), 256))
+    sizes = samples.groupBy(*by).agg(F.count("*").alias("__n")).select("__n", *[F.col(c).alias(f"__of_{c}") for c in by])
+    same = F.col(category).eqNullSafe(F.col(f"__of_{category}")) & F.col(source_split).eqNullSafe(F.col(f"__of_{source_split}"))
+    rows = ranked(rows, "__key", "__rank", by, (id_col,)).join(sizes, same)
+    carved = (F.col(source_split) == "train") & (F.col("__rank") <= F.bround(F.col("__n") * ratio))
+    split = F.when(carved, "val").when(F.col(source_split) == "benchmark", "evaluation").otherwise(F.col(source_split))
+    return rows.withColumn("split", split).select(*samples.columns, "split")
 
 
 def split_counts(samples: DataFrame, by: tuple[str, ...], hash_col: str = "image_hash") -> DataFrame:
@@ -113,8 +146,21 @@ def coco_annotations(samples: DataFrame, categories: list[str], ordinal: str = "
     number = F.create_map(*[x for i, c in enumerate(categories) for x in (F.lit(c), F.lit(i + 1))])
     boxes = samples.select("sample_id", "split", ordinal, F.explode("annotations").alias("field", "box"))
     rows = boxes.withColumn("category_id", F.try_element_at(number, F.col("field"))).where(F.col("category_id").isNotNull() & G.is_valid(F.col("box")))
-    own = Window.partitionBy("split").orderBy(ordinal, "category_id")
-    return rows.select("split", F.row_number().over(own).cast("long").alias("annotation_id"), "sample_id", "category_id", G.coco(F.col("box")).alias("bbox"), G.area(F.col("box")).alias("area"))
+    made = numbered(rows, range_part(samples, ordinal), (ordinal, "category_id"), "annotation_id", ("split",))
+    return made.select("split", F.col("annotation_id").cast("long").alias("annotation_id"), "sample_id", "category_id", G.coco(F.col("box")).alias("bbox"), G.area(F.col("box")).alias("area"))
+
+
+def coco_images(samples: DataFrame, ordinal: str = "ordinal") -> DataFrame:
+    """The images section: running ids from 1 within each split, in the samples' order; what has no size is no image."""
+    sized = samples.where((F.col("width") > 0) & (F.col("height") > 0))
+    made = numbered(sized, range_part(samples, ordinal), (ordinal,), "image_id", ("split",))
+    return made.select("split", F.col("image_id").cast("long").alias("image_id"), "sample_id", "file_name", "width", "height")
+
+
+def coco_categories(spark: SparkSession, categories: list[str], supercategory: str) -> DataFrame:
+    """The categories section, ids from 1 in the order given."""
+    named = spark.range(len(categories)).select((F.col("id") + 1).cast("int").alias("category_id"))
+    return named.select("category_id", F.element_at(F.array(*map(F.lit, categories)), F.col("category_id")).alias("name"), F.lit(supercategory).alias("supercategory"))
 
 
 def sample_issues(samples: DataFrame) -> DataFrame:

@@ -107,22 +107,52 @@ def detection_metrics(hit: DataFrame, truths: DataFrame, threshold: float = 0.5)
     return made.select("class_id", "truths", "predictions", "tp", (F.col("predictions") - F.col("tp")).alias("fp"), (F.col("truths") - F.col("tp")).alias("fn"), F.round(p, 4).alias("precision"), F.round(r, 4).alias("recall"), F.round(share(2 * p * r, p + r), 4).alias("f1"))
 
 
-def average_precision(hit: DataFrame, truths: DataFrame, thresholds: list[float]) -> DataFrame:
+def average_precision(hit: DataFrame, truths: DataFrame, thresholds: list[float], parts: int = 1024) -> DataFrame:
     """(class_id, threshold, ap) of classes with truths: area under the falling envelope of precision over recall, by
-    trapezoids between the points and the ends (0, 0) and (1, 0)."""
+    trapezoids between the points and the ends (0, 0) and (1, 0).
+
+    The curve of a class and threshold is worked out in ``parts`` ranges of the score (0 to 1): counts and the best precision
+    of each range are small tables, from which ranges get what lies before and behind them, so no task sees a whole class.
+    Only true positives move the recall, and the point before one is known from its own counts."""
+    keys = ["class_id", "threshold"]
+    part = F.greatest(F.lit(0), F.least(F.lit(parts - 1), F.floor(F.col("score") * parts))).cast("int")
     n = truths.groupBy("class_id").agg(F.count("*").alias("truths"))
-    own = Window.partitionBy("class_id", "threshold").orderBy(F.desc("score"), "image_id", "pred_id")
+    rows = hit.join(F.broadcast(n.select("class_id")), "class_id", "left_semi").select(*keys, part.alias("part"), "score", "image_id", "pred_id", "tp")
+    sizes = rows.groupBy(*keys, "part").agg(F.count("*").alias("n"), F.sum("tp").alias("hits"))
+    above = Window.partitionBy(*keys).orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select(*keys, "part", *[F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"{c}_above") for c in ("n", "hits")])
+    own = Window.partitionBy(*keys, "part").orderBy(F.desc("score"), "image_id", "pred_id")
     upto = own.rowsBetween(Window.unboundedPreceding, 0)
-    points = hit.join(n, "class_id").select("class_id", "threshold", F.row_number().over(own).alias("k"), (F.sum("tp").over(upto) / F.col("truths")).alias("recall"), (F.sum("tp").over(upto) / F.row_number().over(own)).alias("precision"))
-    ends = n.select("class_id", F.explode(F.array(*map(F.lit, thresholds))).alias("threshold")).select("class_id", "threshold", F.inline(F.array(F.struct(F.lit(0).alias("k"), F.lit(0.0).alias("recall"), F.lit(0.0).alias("precision")), F.struct(F.lit(2147483647).alias("k"), F.lit(1.0).alias("recall"), F.lit(0.0).alias("precision")))))
-    line = Window.partitionBy("class_id", "threshold").orderBy("k")
+    counted = rows.select("*", F.row_number().over(own).alias("k"), F.sum("tp").over(upto).alias("hits")).join(before, [*keys, "part"])
+    points = counted.select(*keys, "part", "tp", (F.col("k") + F.col("n_above")).alias("k"), (F.col("hits") + F.col("hits_above")).alias("hits"))
+    points = points.withColumn("precision", F.col("hits") / F.col("k"))
+    below = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    best = points.groupBy(*keys, "part").agg(F.max("precision").alias("best"))
+    behind = best.select(*keys, "part", F.coalesce(F.max("best").over(below), F.lit(0.0)).alias("behind"))
     # read from the end, so that the frame only grows: one that shrinks would be scanned anew for each row
-    back = Window.partitionBy("class_id", "threshold").orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, 0)
-    rows = points.unionByName(ends).withColumn("envelope", F.max("precision").over(back))
-    rows = rows.withColumn("area", (F.col("recall") - F.lag("recall").over(line)) * (F.col("envelope") + F.lag("envelope").over(line)) / 2)
-    return rows.groupBy("class_id", "threshold").agg(F.round(F.coalesce(F.sum("area"), F.lit(0.0)), 6).alias("ap"))
+    back = Window.partitionBy(*keys, "part").orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, 0)
+    line = points.withColumn("own", F.max("precision").over(back)).where("tp = 1").join(behind, [*keys, "part"])
+    envelope = F.greatest("own", "behind")
+    earlier = F.greatest(envelope, F.coalesce(F.try_divide(F.col("hits") - 1, F.col("k") - 1), F.lit(0.0)))
+    areas = line.groupBy(*keys).agg(F.sum((envelope + earlier) / 2).alias("area"))
+    ends = sizes.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"))
+    asked = n.select("class_id", "truths", F.explode(F.array(*map(F.lit, thresholds))).alias("threshold"))
+    made = asked.join(ends, keys, "left").join(areas, keys, "left")
+    last = (1 - F.col("hits") / F.col("truths")) * (F.col("hits") / F.col("n")) / 2
+    return made.select(*keys, F.round(F.coalesce(F.col("area"), F.lit(0.0)) / F.col("truths") + F.coalesce(last, F.lit(0.0)), 6).alias("ap"))
+
+
+def above_threshold(predictions: DataFrame, threshold: float = 0.3, classes: list[int] | None = None, background: int = 0) -> DataFrame:
+    """Predictions that count: scores from the threshold up, no background, and only known classes if these are given."""
+    kept = predictions.where((F.col("score") >= threshold) & (F.col("class_id") != background))
+    return kept if classes is None else kept.where(F.col("class_id").isin(*classes))
 
 
 def mean_average_precision(ap: DataFrame) -> DataFrame:
     at50 = F.avg(F.when(F.col("threshold") == 0.5, F.col("ap")))
     return ap.agg(F.round(at50, 4).alias("map_50"), F.round(F.avg("ap"), 4).alias("map_50_95"))
+
+
+def macro_detection(metrics: DataFrame) -> DataFrame:
+    """Means of precision, recall and F1 over the classes with truths."""
+    return metrics.where("truths > 0").agg(F.count("*").alias("classes"), *[F.round(F.avg(c), 4).alias(f"macro_{c}") for c in ("precision", "recall", "f1")])

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.money import amount_of, is_plain_number, percent
+from .quantiles import interpolated, nearest_ranks, number
 
 #: Edges of the confidence histogram.
 EDGES = (0.50, 0.70, 0.85, 0.95)
@@ -46,8 +47,10 @@ def amount_stats(df: DataFrame, text: str) -> DataFrame:
     """Of amounts as text, cleaned; what cannot be read is left out."""
     x = F.col("__x")
     zero = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 2)
-    return df.select(amount_of(F.col(text)).alias("__x")).agg(
-        F.count(x).alias("n"), zero(F.sum(x)).alias("sum"), zero(F.avg(x)).alias("mean"), zero(F.median(x)).alias("median"),
+    amounts = df.select(amount_of(F.col(text)).alias("__x"))
+    (median,) = interpolated(amounts, "__x", (0.5,))
+    return amounts.agg(
+        F.count(x).alias("n"), zero(F.sum(x)).alias("sum"), zero(F.avg(x)).alias("mean"), zero(number(median)).alias("median"),
         zero(F.min(x)).alias("min"), zero(F.max(x)).alias("max"), zero(F.stddev_pop(x)).alias("std"),
     )
 
@@ -63,7 +66,8 @@ def confidence_histogram(df: DataFrame, confidence: str, edges: tuple[float, ...
     """Counts between fixed edges (a bucket without rows is 0), median and population deviation."""
     x, bounds = F.col(confidence), [float("-inf"), *edges, float("inf")]
     buckets = [F.count_if((x >= lo) & (x < hi)).alias(f"bucket_{i}") for i, (lo, hi) in enumerate(zip(bounds[:-1], bounds[1:]))]
-    return df.agg(F.count(x).alias("n"), F.round(F.avg(x), 4).alias("mean"), F.round(F.median(x), 4).alias("median"), F.round(F.stddev_pop(x), 4).alias("std"), *buckets)
+    (median,) = interpolated(df, confidence, (0.5,))
+    return df.agg(F.count(x).alias("n"), F.round(F.avg(x), 4).alias("mean"), F.round(number(median), 4).alias("median"), F.round(F.stddev_pop(x), 4).alias("std"), *buckets)
 
 
 def field_performance(fields: DataFrame) -> DataFrame:
@@ -88,28 +92,29 @@ def top_reasons(checks: DataFrame, n: int = 10) -> DataFrame:
     return flagged.groupBy("validation_reason").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "validation_reason").limit(n)
 
 
-def nearest_rank(x: str, p: float) -> Column:
-    """The value at rank ceil(p n)."""
-    return F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY `{x}`)").cast("double")
-
-
 def latency_stats(runs: DataFrame, latency: str = "total_latency_ms") -> DataFrame:
-    x = F.col(latency)
-    ranks = [F.round(nearest_rank(latency, p), 2).alias(f"p{round(100 * p)}") for p in (0.5, 0.9, 0.99)]
-    return runs.where(x.isNotNull()).agg(F.count("*").alias("n"), F.round(F.avg(x), 2).alias("mean"), F.round(F.min(x), 2).alias("min"), F.round(F.max(x), 2).alias("max"), *ranks)
+    x, shares = F.col(latency), (0.5, 0.9, 0.99)
+    runs = runs.where(x.isNotNull())
+    ranks = [F.round(number(v), 2).alias(f"p{round(100 * p)}") for p, v in zip(shares, nearest_ranks(runs, latency, shares))]
+    return runs.agg(F.count("*").alias("n"), F.round(F.avg(x), 2).alias("mean"), F.round(F.min(x), 2).alias("min"), F.round(F.max(x), 2).alias("max"), *ranks)
 
 
 def latency_interpolated(runs: DataFrame, latency: str = "total_latency_ms", approximate: bool = False) -> DataFrame:
-    """Percentiles between ranks. ``approximate`` trades exactness for memory that does not grow with distinct values."""
-    take = (lambda p: F.percentile_approx(latency, p, 10_000)) if approximate else (lambda p: F.percentile(latency, p))
-    return runs.agg(*[F.round(take(p), 2).alias(f"p{round(100 * p)}") for p in (0.5, 0.9, 0.95, 0.99)])
+    """Percentiles between ranks, exact, or with ``approximate`` from a sketch in one pass."""
+    shares = (0.5, 0.9, 0.95, 0.99)
+    if approximate:
+        return runs.agg(*[F.round(F.percentile_approx(latency, p, 10_000), 2).alias(f"p{round(100 * p)}") for p in shares])
+    exact = zip(shares, interpolated(runs, latency, shares))
+    return runs.sparkSession.range(1).select(*[F.round(number(v), 2).alias(f"p{round(100 * p)}") for p, v in exact])
 
 
 def stage_latency(runs: DataFrame, stages: dict[str, Column], latency: str = "total_latency_ms", failed: Column | None = None) -> DataFrame:
     """Mean, median and interpolated p95 of the whole, means of the stages, rate of failures."""
     x = F.col(latency)
     rate = percent(F.count_if(failed), F.count("*")) if failed is not None else F.lit(0.0)
-    return runs.agg(F.round(F.avg(x), 2).alias("mean"), F.round(F.median(x), 2).alias("median"), F.round(F.percentile(x, 0.95), 2).alias("p95"), *[F.round(F.avg(c), 2).alias(f"mean_{k}") for k, c in stages.items()], rate.alias("failure_rate"))
+    median, p95 = interpolated(runs, latency, (0.5, 0.95))
+    whole = [F.round(F.avg(x), 2).alias("mean"), F.round(number(median), 2).alias("median"), F.round(number(p95), 2).alias("p95")]
+    return runs.agg(*whole, *[F.round(F.avg(c), 2).alias(f"mean_{k}") for k, c in stages.items()], rate.alias("failure_rate"))
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:

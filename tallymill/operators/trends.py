@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import bucket_label
 from ..functions.money import amount_of, percent
+from .quantiles import number, order_statistics
 
 #: Rows that a history must have, and the signals' limits.
 LEAST_HISTORY, Z_AMOUNT, IQR_TIMES, Z_HIGH, IQR_HIGH, Z_LATENCY, Z_LATENCY_MEDIUM = 10, 3.0, 2.5, 4.0, 4.0, 2.5, 3.5
@@ -36,11 +37,12 @@ def daily_volume(documents: DataFrame, ts: str = "created_at") -> DataFrame:
 def base_statistics(values: DataFrame, x: str) -> DataFrame:
     """One row: n, mean, population deviation and the quartiles at index floor(p n); no row below the least history.
 
-    The rank of a quartile depends on n, so n is taken first; both passes return one row."""
+    The quartiles are worked out before, in bounded memory; the statistics are one aggregation."""
     kept = values.where(F.col(x).isNotNull()).select(F.col(x).alias("__x"))
-    n = kept.count()
-    at = lambda p: F.expr(f"percentile_disc({(int(p * n) + 0.5) / max(1, n)!r}D) WITHIN GROUP (ORDER BY __x)").cast("double")
-    made = kept.agg(F.count("*").alias("n"), F.avg("__x").alias("mean"), F.stddev_pop("__x").alias("std"), at(0.25).alias("q1"), at(0.75).alias("q3"))
+    at = lambda p, n: min(int(p * n), n - 1)
+    n, found = order_statistics(kept, "__x", lambda n: [at(0.25, n), at(0.75, n)])
+    q1, q3 = (found.get(at(p, n)) for p in (0.25, 0.75))
+    made = kept.agg(F.count("*").alias("n"), F.avg("__x").alias("mean"), F.stddev_pop("__x").alias("std"), number(q1).alias("q1"), number(q3).alias("q3"))
     return made.where(F.col("n") >= LEAST_HISTORY).withColumn("iqr", F.col("q3") - F.col("q1")).withColumn("upper", F.col("q3") + IQR_TIMES * F.col("iqr"))
 
 

@@ -36,7 +36,7 @@ ROLES = {
     "texts_": """SELECT c_custkey AS doc_id, CASE c_custkey % 3 WHEN 0 THEN 'amount' WHEN 1 THEN 'date' ELSE 'name' END AS field, c_name AS truth,
         CASE c_custkey % 5 WHEN 0 THEN c_name WHEN 1 THEN upper(c_name) WHEN 2 THEN substr(c_name, 1, 12) WHEN 3 THEN '' ELSE replace(c_name, '0', 'O') END AS predicted,
         CAST(400 + (c_custkey * 7) % 500 AS INT) AS w, CAST(200 + (c_custkey * 3) % 300 AS INT) AS h, CASE c_custkey % 4 WHEN 0 THEN 'recognizer' ELSE 'ocr' END AS method, CAST((c_custkey * 11) % 129 AS DOUBLE) / 128 AS confidence FROM customer""",
-    "tokens_": """SELECT conv_id AS field_id, turn AS line_num, 1 AS word_num, substr(text, 1, 40) AS text, CAST((conv_id * 7 + turn * 3) % 129 AS DOUBLE) / 128 AS conf FROM conversations""",
+    "tokens_": """SELECT conv_id AS field_id, turn AS line_num, 1 AS word_num, text, CAST((conv_id * 7 + turn * 3) % 129 AS DOUBLE) / 128 AS conf FROM conversations""",
 }
 
 

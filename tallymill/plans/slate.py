@@ -285,7 +285,7 @@ def bank_lookup(supplier, nation):
 
 @slate("SELECT image_hash, count(*) AS n, min(sample_id) AS first_id, array_to_string(list_sort(list(sample_id)), ',') AS ids FROM samples_ GROUP BY 1 HAVING count(*) > 1")
 def duplicate_groups(samples_):
-    return datasets.duplicate_groups(samples_).select("image_hash", "n", F.col("ids")[0].alias("first_id"), F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
+    return datasets.duplicate_groups(samples_).select("image_hash", "n", "first_id", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
 
 
 @slate("SELECT count(*) AS groups, CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS instances FROM (SELECT count(*) AS n FROM samples_ GROUP BY image_hash) WHERE n > 1")

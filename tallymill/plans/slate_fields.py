@@ -399,6 +399,9 @@ def _boxed(df, keep):
     return df.select(*keep, geometry.box(x, y, x + w, y + h).alias("box"))
 
 
+#: All ten of mAP@[.50:.95].
+THRESHOLDS = [0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95]
+TEN = "(VALUES " + ", ".join(f"({t})" for t in THRESHOLDS) + ")"
 UNIQUE_BOXES = "(SELECT DISTINCT * FROM boxes_)"
 UNIQUE_TRUTHS = "(SELECT DISTINCT * FROM truths_)"
 BEST = f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_id, class_id ORDER BY score DESC, pred_id) AS n FROM {UNIQUE_BOXES}) WHERE n = 1)"
@@ -406,14 +409,12 @@ IW, IH = "greatest(least(p.x + p.w, t.x + t.w) - greatest(p.x, t.x), 0)", "great
 MATCHED = f"""(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_id, class_id, pred_id ORDER BY iou DESC, truth_id) AS n FROM (SELECT p.image_id, p.class_id, p.pred_id, p.score, t.truth_id,
     coalesce({IW} * {IH} / nullif(p.w * p.h + t.w * t.h - {IW} * {IH}, 0), 0) AS iou FROM {UNIQUE_BOXES} p LEFT JOIN {UNIQUE_TRUTHS} t ON p.image_id = t.image_id AND p.class_id = t.class_id)) WHERE n = 1)"""
 HITS = f"""(SELECT *, CASE WHEN enough AND row_number() OVER (PARTITION BY threshold, class_id, image_id, truth_id, enough ORDER BY score DESC, pred_id) = 1 THEN 1 ELSE 0 END AS tp FROM (
-    SELECT m.*, threshold, truth_id IS NOT NULL AND iou >= threshold AS enough FROM {MATCHED} m CROSS JOIN (VALUES (0.5), (0.55), (0.6)) v(threshold)))"""
+    SELECT m.*, threshold, truth_id IS NOT NULL AND iou >= threshold AS enough FROM {MATCHED} m CROSS JOIN {TEN} v(threshold)))"""
 AP = f"""(SELECT class_id, threshold, round(coalesce(sum((recall - lr) * (envelope + le) / 2), 0), 6) AS ap FROM (SELECT *, lag(recall) OVER (PARTITION BY class_id, threshold ORDER BY k) AS lr, lag(envelope) OVER (PARTITION BY class_id, threshold ORDER BY k) AS le FROM (
     SELECT *, max(precision) OVER (PARTITION BY class_id, threshold ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS envelope FROM (
     SELECT h.class_id, threshold, row_number() OVER o AS k, CAST(sum(tp) OVER o AS DOUBLE) / truths AS recall, CAST(sum(tp) OVER o AS DOUBLE) / row_number() OVER o AS precision FROM {HITS} h JOIN (SELECT class_id, count(*) AS truths FROM {UNIQUE_TRUTHS} GROUP BY 1) n ON n.class_id = h.class_id
     WINDOW o AS (PARTITION BY h.class_id, threshold ORDER BY score DESC, image_id, pred_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
-    UNION ALL SELECT class_id, threshold, k, r, 0.0 FROM (SELECT DISTINCT class_id FROM truths_) CROSS JOIN (VALUES (0.5), (0.55), (0.6)) v(threshold) CROSS JOIN (VALUES (0, 0.0), (2147483647, 1.0)) e(k, r)))) GROUP BY 1, 2)"""
-#: All ten of mAP@[.50:.95]; the SQL above still has the first three alone.
-THRESHOLDS = [0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95]
+    UNION ALL SELECT class_id, threshold, k, r, 0.0 FROM (SELECT DISTINCT class_id FROM truths_) CROSS JOIN {TEN} v(threshold) CROSS JOIN (VALUES (0, 0.0), (2147483647, 1.0)) e(k, r)))) GROUP BY 1, 2)"""
 
 
 def _evaluated(boxes, truths):
@@ -452,10 +453,8 @@ def mean_average_precision(boxes_, truths_):
 
 
 @slate("SELECT field_id, string_agg(text, ' ' ORDER BY line_num, word_num, text) AS text, round(avg(conf), 4) AS mean_confidence, round(min(conf), 4) AS min_confidence, count(*) AS tokens FROM tokens_ GROUP BY field_id")
-def token_rollup(conversations):
-    # whole turns, where the SQL's role tokens_ has their first 40 characters
-    conf = ((F.col("conv_id") * 7 + F.col("turn") * 3) % 129).cast("double") / 128
-    return tokens.token_rollup(conversations.select(F.col("conv_id").alias("field_id"), F.col("turn").alias("line_num"), F.lit(1).alias("word_num"), "text", conf.alias("conf")))
+def token_rollup(tokens_):
+    return tokens.token_rollup(tokens_)
 
 
 @slate("SELECT user_id AS field_id, string_agg(substr(event_type, 1, 1), '' ORDER BY event_id, substr(event_type, 1, 1)) AS text, round(avg(value), 4) AS mean_confidence FROM events GROUP BY user_id")

@@ -45,27 +45,6 @@ def test_others_run(spark, sf_dir, name):
     assert plans.QUERIES[name](spark, sf_dir).count() > 0
 
 
-def whole(spark, duck, sf_dir, name, cut, uncut):
-    """The query's rows and those of its SQL without the cut; the SQL itself stays as it is."""
-    assert cut in plans.ORACLES[name]
-    told = duck.execute(plans.ORACLES[name].replace(cut, uncut))
-    names = [d[0] for d in told.description]
-    wanted = sorted(tuple(plain(x) for x in r) for r in told.fetchall())
-    return sorted(tuple(plain(r[c]) for c in names) for r in plans.QUERIES[name](spark, sf_dir).collect()), wanted
-
-
-@pytest.mark.parametrize("name", ["average_precision", "mean_average_precision"])
-def test_precision_over_all_ten_thresholds(spark, duck, sf_dir, name):
-    ten = ", ".join(f"({k / 100})" for k in range(50, 100, 5))
-    got, wanted = whole(spark, duck, sf_dir, name, "(VALUES (0.5), (0.55), (0.6))", f"(VALUES {ten})")
-    assert got == wanted
-
-
-def test_token_rollup_takes_whole_turns(spark, duck, sf_dir):
-    got, wanted = whole(spark, duck, sf_dir, "token_rollup", "substr(text, 1, 40)", "text")
-    assert got == wanted
-
-
 def test_entry(spark):
     import __spark_entry__
 
