@@ -37,8 +37,9 @@ ALIASES = {
 
 
 def _result(text: Column, valid: Column, *steps: tuple[Column | None, str]) -> Column:
-    told = F.array_compact(F.array(*[F.lit(name) if when is None else F.when(when, F.lit(name)) for when, name in steps]))
-    return F.struct(text.alias("normalized_text"), F.coalesce(valid, F.lit(False)).alias("is_valid"), told.cast("array<string>").alias("steps"))
+    none = F.array().cast("array<string>")
+    told = F.concat(none, *[F.array(F.lit(name)) if when is None else F.when(when, F.array(F.lit(name))).otherwise(none) for when, name in steps])
+    return F.struct(text.alias("normalized_text"), F.coalesce(valid, F.lit(False)).alias("is_valid"), told.alias("steps"))
 
 
 def _raw(x: Column) -> Column:

@@ -28,12 +28,21 @@ BANKS = {
 }
 
 
+def none() -> Column:
+    return F.array().cast("array<string>")
+
+
+def when(holds: Column, text: str | Column) -> Column:
+    """One text, or none: arrays of conditions are put together without lambdas, so that rules stay in generated code."""
+    return F.when(holds, F.array(F.lit(text) if isinstance(text, str) else text)).otherwise(none())
+
+
 def _texts(*items: Column) -> Column:
-    return F.array_compact(F.array(*items)).cast("array<string>")
+    return F.concat(none(), *items)
 
 
 def _outcome(value: Column, errors: Column, warnings: Column | None = None) -> Column:
-    return F.struct(value.alias("value"), errors.alias("errors"), (_texts(F.lit(None)) if warnings is None else warnings).alias("warnings"))
+    return F.struct(value.alias("value"), errors.alias("errors"), (none() if warnings is None else warnings).alias("warnings"))
 
 
 def _value(x: Column) -> Column:
@@ -51,10 +60,10 @@ def account(x: Column) -> Column:
 def _account(v: Column) -> Column:
     n, digits = F.length(v), F.rlike(v, F.lit("^[0-9]+$"))
     return _outcome(v, _texts(
-        F.when(v == "", "Account number is empty"),
-        F.when((v != "") & ~digits, said("Account number contains non-numeric characters: '%s'", v)),
-        F.when(digits & (n < 9), said("Account number length (%d) is below minimum standard of 9 digits", n)),
-        F.when(digits & (n > 18), said("Account number length (%d) exceeds maximum standard of 18 digits", n)),
+        when(v == "", "Account number is empty"),
+        when((v != "") & ~digits, said("Account number contains non-numeric characters: '%s'", v)),
+        when(digits & (n < 9), said("Account number length (%d) is below minimum standard of 9 digits", n)),
+        when(digits & (n > 18), said("Account number length (%d) exceeds maximum standard of 18 digits", n)),
     ))
 
 
@@ -65,11 +74,11 @@ def branch(x: Column) -> Column:
 def _branch(v: Column) -> Column:
     n, bank, fifth, rest = F.length(v), F.substr(v, F.lit(1), F.lit(4)), F.substr(v, F.lit(5), F.lit(1)), F.substr(v, F.lit(6))
     return _outcome(v, _texts(
-        F.when(v == "", "IFSC code is empty"),
-        F.when((v != "") & (n != 11), said("IFSC code length (%d) is not exactly 11 characters", n)),
-        F.when((v != "") & ~F.rlike(bank, F.lit(r"^\p{L}+$")), said("IFSC bank prefix '%s' must consist of 4 alphabetic letters", bank)),
-        F.when((n >= 5) & (fifth != "0"), said("IFSC 5th character '%s' must be digit zero ('0')", fifth)),
-        F.when((n == 11) & ~F.rlike(rest, F.lit(r"^[\p{L}\p{N}]+$")), said("IFSC branch suffix '%s' must be alphanumeric", rest)),
+        when(v == "", "IFSC code is empty"),
+        when((v != "") & (n != 11), said("IFSC code length (%d) is not exactly 11 characters", n)),
+        when((v != "") & ~F.rlike(bank, F.lit(r"^\p{L}+$")), said("IFSC bank prefix '%s' must consist of 4 alphabetic letters", bank)),
+        when((n >= 5) & (fifth != "0"), said("IFSC 5th character '%s' must be digit zero ('0')", fifth)),
+        when((n == 11) & ~F.rlike(rest, F.lit(r"^[\p{L}\p{N}]+$")), said("IFSC branch suffix '%s' must be alphanumeric", rest)),
     ))
 
 
@@ -88,8 +97,9 @@ def date(x: Column, reference: Column) -> Column:
 
 def _date_parts(v: Column) -> Column:
     def read(parts: Column) -> Column:
-        numbers = F.when(F.rlike(v, F.lit(r"^[0-9]+[/\-.][0-9]+[/\-.][0-9]+$")), F.transform(parts, lambda p: p.try_cast("int")))
-        return let(numbers, lambda n: F.struct((F.size(parts) == 3).alias("three"), n.isNotNull().alias("numeric"), n[0].alias("day"), n[1].alias("month"), (n[2] + F.when(n[2] < 100, 2000).otherwise(0)).alias("year")))
+        numeric = F.rlike(v, F.lit(r"^[0-9]+[/\-.][0-9]+[/\-.][0-9]+$"))
+        at = lambda i: F.when(numeric, F.get(parts, F.lit(i)).try_cast("int"))
+        return let(at(2), lambda year: F.struct((F.size(parts) == 3).alias("three"), numeric.alias("numeric"), at(0).alias("day"), at(1).alias("month"), (year + F.when(year < 100, 2000).otherwise(0)).alias("year")))
 
     return let(F.split(v, r"[/\-.]"), read)
 
@@ -103,15 +113,15 @@ def _date(v: Column, d: Column, c: Column, reference: Column) -> Column:
     good = c["good_month"] & d["day"].between(1, most)
     age = F.datediff(reference, F.when(good, F.date_add(c["first"], d["day"] - 1)))
     errors = _texts(
-        F.when(v == "", "Date field is empty"),
-        F.when((v != "") & ~d["three"], said("Invalid date format '%s'. Expected DD/MM/YYYY", v)),
-        F.when(d["three"] & ~d["numeric"] & (v != ""), said("Date contains non-numeric components: '%s'", v)),
-        F.when(d["numeric"] & ~c["good_month"], said("Invalid month (%d). Must be 1-12", d["month"])),
-        F.when(c["good_month"] & ~good, said("Invalid day (%d) for month %d/%d. Max days is %d", d["day"], d["month"], d["year"], most)),
+        when(v == "", "Date field is empty"),
+        when((v != "") & ~d["three"], said("Invalid date format '%s'. Expected DD/MM/YYYY", v)),
+        when(d["three"] & ~d["numeric"] & (v != ""), said("Date contains non-numeric components: '%s'", v)),
+        when(d["numeric"] & ~c["good_month"], said("Invalid month (%d). Must be 1-12", d["month"])),
+        when(c["good_month"] & ~good, said("Invalid day (%d) for month %d/%d. Max days is %d", d["day"], d["month"], d["year"], most)),
     )
     warnings = let(age, lambda n: _texts(
-        F.when(n > VALID_DAYS, said(f"Stale cheque: issued %d days ago on %s, exceeding {VALID_DAYS}-day validity", n, c["shown"])),
-        F.when(n < 0, said("Post-dated cheque: dated in future on %s (relative to %s)", c["shown"], reference.cast("string"))),
+        when(n > VALID_DAYS, said(f"Stale cheque: issued %d days ago on %s, exceeding {VALID_DAYS}-day validity", n, c["shown"])),
+        when(n < 0, said("Post-dated cheque: dated in future on %s (relative to %s)", c["shown"], reference.cast("string"))),
     ))
     return _outcome(F.when(d["numeric"], c["shown"]).otherwise(v), errors, warnings)
 
@@ -125,11 +135,11 @@ def amount(x: Column) -> Column:
 def _amount(v: Column, number: Column) -> Column:
     shown = F.when(number.isNull(), v).when(F.contains(v, F.lit(".")), said("%.2f", number)).otherwise(number.cast("decimal(38,0)").cast("string"))
     errors = _texts(
-        F.when(v == "", "Amount field is empty"),
-        F.when((v != "") & number.isNull(), said("Amount '%s' is not a valid numeric value", v)),
-        F.when(number <= 0, said("Amount %s must be strictly greater than zero", number.cast("string"))),
+        when(v == "", "Amount field is empty"),
+        when((v != "") & number.isNull(), said("Amount '%s' is not a valid numeric value", v)),
+        when(number <= 0, said("Amount %s must be strictly greater than zero", number.cast("string"))),
     )
-    return _outcome(shown, errors, _texts(F.when(number >= HIGH_VALUE, said(f"High-value cheque (₹%,.2f >= ₹{HIGH_VALUE:,.2f}): Requires Positive Pay verification", number))))
+    return _outcome(shown, errors, _texts(when(number >= HIGH_VALUE, said(f"High-value cheque (₹%,.2f >= ₹{HIGH_VALUE:,.2f}): Requires Positive Pay verification", number))))
 
 
 def payee(x: Column) -> Column:
@@ -138,11 +148,11 @@ def payee(x: Column) -> Column:
 
 def _payee(v: Column) -> Column:
     errors = _texts(
-        F.when(v == "", "Payee recipient name is empty"),
-        F.when(F.length(v) == 1, said("Payee name '%s' is too short (minimum 2 characters)", v)),
-        F.when((v != "") & (F.length(F.regexp_replace(v, r"[^\p{L}]", "")) < 2), "Payee name must contain at least 2 alphabetic characters"),
+        when(v == "", "Payee recipient name is empty"),
+        when(F.length(v) == 1, said("Payee name '%s' is too short (minimum 2 characters)", v)),
+        when((v != "") & (F.length(F.regexp_replace(v, r"[^\p{L}]", "")) < 2), "Payee name must contain at least 2 alphabetic characters"),
     )
-    return _outcome(v, errors, _texts(F.when(F.upper(v).isin("SELF", "CASH"), said("Payee is designated as '%s' (Cash withdrawal instrument)", F.upper(v)))))
+    return _outcome(v, errors, _texts(when(F.upper(v).isin("SELF", "CASH"), said("Payee is designated as '%s' (Cash withdrawal instrument)", F.upper(v)))))
 
 
 def tier(confidence: Column) -> Column:
@@ -166,8 +176,8 @@ def is_low(confidence: Column, stored: Column) -> Column:
 
 def amount_mismatch(figures: Column, words: Column) -> Column:
     """The discrepancy's text; null if they agree within one unit or either cannot be read."""
-    a, b = amount_of(figures), words_to_number(words)
-    return F.when(F.abs(a - b) > 1.0, said("Mismatch between amount in figures (₹%,.2f) and amount in words (₹%,.2f)", a, b))
+    told = "Mismatch between amount in figures (₹%,.2f) and amount in words (₹%,.2f)"
+    return let(amount_of(figures), lambda a: let(words_to_number(words), lambda b: F.when(F.abs(a - b) > 1.0, said(told, a, b))))
 
 
 def bank_mismatch(code: Column, bank: Column) -> Column:
@@ -200,15 +210,15 @@ def reliability(rule: Column, raw: Column, text: Column, valid: Column, mean: Co
     """struct(score, tier, review_required, reasons) of an OCR field."""
     empty, n = F.trim(F.coalesce(raw, F.lit(""))) == "", F.length(text)
     reasons = _texts(
-        F.when(empty, "Empty OCR output"),
-        F.when(~empty & ~valid, said("Failed domain schema validation for '%s'", rule)),
-        F.when(~empty & (mean < TIER_MEDIUM), said(f"Low OCR mean confidence (%.2f < {TIER_MEDIUM:.2f})", mean)),
-        F.when(~empty & (mean >= TIER_MEDIUM) & (least < 0.40) & (tokens > 1), said("Contains low-confidence token (%.2f < 0.40)", least)),
-        F.when(~empty & (rule == "acno") & ~n.between(9, 18), said("Account number length %d outside standard [9, 18]", n)),
-        F.when(~empty & (rule == "ifsc") & (n != 11), said("IFSC length %d != 11", n)),
-        F.when(~empty & (rule == "ifsc") & (n == 11) & (F.substr(text, F.lit(5), F.lit(1)) != "0"), "IFSC 5th character is not '0'"),
-        F.when(~empty & (rule == "date") & ~valid, "Invalid calendar date values"),
-        F.when(~empty & (rule == "amount") & (text == ""), "No numerical amount extracted"),
+        when(empty, "Empty OCR output"),
+        when(~empty & ~valid, said("Failed domain schema validation for '%s'", rule)),
+        when(~empty & (mean < TIER_MEDIUM), said(f"Low OCR mean confidence (%.2f < {TIER_MEDIUM:.2f})", mean)),
+        when(~empty & (mean >= TIER_MEDIUM) & (least < 0.40) & (tokens > 1), said("Contains low-confidence token (%.2f < 0.40)", least)),
+        when(~empty & (rule == "acno") & ~n.between(9, 18), said("Account number length %d outside standard [9, 18]", n)),
+        when(~empty & (rule == "ifsc") & (n != 11), said("IFSC length %d != 11", n)),
+        when(~empty & (rule == "ifsc") & (n == 11) & (F.substr(text, F.lit(5), F.lit(1)) != "0"), "IFSC 5th character is not '0'"),
+        when(~empty & (rule == "date") & ~valid, "Invalid calendar date values"),
+        when(~empty & (rule == "amount") & (text == ""), "No numerical amount extracted"),
     )
     score = F.when(empty, 0.0).otherwise((mean * 0.60 + F.when(valid, 0.40).otherwise(0.0)) * F.when(F.size(reasons) > 0, 0.85).otherwise(1.0))
 

@@ -93,11 +93,21 @@ def matches(predictions: DataFrame, truths: DataFrame) -> DataFrame:
     return both.withColumn("__n", F.row_number().over(own)).where("__n = 1").select("image_id", "class_id", "pred_id", "score", "truth_id", "iou")
 
 
+def claimed(matched: DataFrame) -> DataFrame:
+    """Adds taken: the best overlap with the same truth among surer predictions. A prediction is the surest with enough overlap,
+    and so a true positive, at every threshold above taken and up to its own overlap: one window serves all thresholds."""
+    surer = Window.partitionBy("class_id", "image_id", "truth_id").orderBy(F.desc("score"), "pred_id").rowsBetween(Window.unboundedPreceding, -1)
+    return matched.withColumn("taken", F.coalesce(F.max("iou").over(surer), F.lit(-1.0)))
+
+
+def _positive(threshold: Column) -> Column:
+    return (F.col("truth_id").isNotNull() & (F.col("iou") >= threshold) & (F.col("taken") < threshold)).cast("int")
+
+
 def hits(matched: DataFrame, thresholds: list[float]) -> DataFrame:
     """A row for each prediction and threshold with tp: enough overlap, and the surest of those with the same truth."""
-    rows = matched.withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds)))).withColumn("enough", F.col("truth_id").isNotNull() & (F.col("iou") >= F.col("threshold")))
-    own = Window.partitionBy("threshold", "class_id", "image_id", "truth_id", "enough").orderBy(F.desc("score"), "pred_id")
-    return rows.withColumn("tp", (F.col("enough") & (F.row_number().over(own) == 1)).cast("int"))
+    rows = claimed(matched).withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds))))
+    return rows.withColumn("tp", _positive(F.col("threshold"))).drop("taken")
 
 
 def detection_metrics(hit: DataFrame, truths: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -107,39 +117,50 @@ def detection_metrics(hit: DataFrame, truths: DataFrame, threshold: float = 0.5)
     return made.select("class_id", "truths", "predictions", "tp", (F.col("predictions") - F.col("tp")).alias("fp"), (F.col("truths") - F.col("tp")).alias("fn"), F.round(p, 4).alias("precision"), F.round(r, 4).alias("recall"), F.round(share(2 * p * r, p + r), 4).alias("f1"))
 
 
-def average_precision(hit: DataFrame, truths: DataFrame, thresholds: list[float], parts: int = 1024) -> DataFrame:
+def average_precision(matched: DataFrame, truths: DataFrame, thresholds: list[float], parts: int = 1024) -> DataFrame:
     """(class_id, threshold, ap) of classes with truths: area under the falling envelope of precision over recall, by
     trapezoids between the points and the ends (0, 0) and (1, 0).
 
-    The curve of a class and threshold is worked out in ``parts`` ranges of the score (0 to 1): counts and the best precision
-    of each range are small tables, from which ranges get what lies before and behind them, so no task sees a whole class.
-    Only true positives move the recall, and the point before one is known from its own counts."""
-    keys = ["class_id", "threshold"]
+    The curves of a class are worked out in ``parts`` ranges of the score (0 to 1), all thresholds side by side: counts and the
+    best precisions of each range are small tables, from which ranges get what lies before and behind them, so no task sees
+    a whole class. Only true positives move the recall, and the point before one is known from its own counts."""
+    which = range(len(thresholds))
+    columns = lambda name: [f"{name}_{i}" for i in which]
+    key = ["class_id", "part"]
     part = F.greatest(F.lit(0), F.least(F.lit(parts - 1), F.floor(F.col("score") * parts))).cast("int")
     n = truths.groupBy("class_id").agg(F.count("*").alias("truths"))
-    rows = hit.join(F.broadcast(n.select("class_id")), "class_id", "left_semi").select(*keys, part.alias("part"), "score", "image_id", "pred_id", "tp")
-    sizes = rows.groupBy(*keys, "part").agg(F.count("*").alias("n"), F.sum("tp").alias("hits"))
-    above = Window.partitionBy(*keys).orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
-    before = sizes.select(*keys, "part", *[F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"{c}_above") for c in ("n", "hits")])
-    own = Window.partitionBy(*keys, "part").orderBy(F.desc("score"), "image_id", "pred_id")
+    rows = claimed(matched.join(n.select("class_id"), "class_id", "left_semi"))
+    rows = rows.select("class_id", part.alias("part"), "score", "image_id", "pred_id", *[_positive(F.lit(t)).alias(f"tp_{i}") for i, t in enumerate(thresholds)])
+    sizes = rows.groupBy(*key).agg(F.count("*").alias("n"), *[F.sum(f"tp_{i}").alias(f"hits_{i}") for i in which])
+    above = Window.partitionBy("class_id").orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select(*key, *[F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"{c}_above") for c in ("n", *columns("hits"))])
+    own = Window.partitionBy(*key).orderBy(F.desc("score"), "image_id", "pred_id")
     upto = own.rowsBetween(Window.unboundedPreceding, 0)
-    counted = rows.select("*", F.row_number().over(own).alias("k"), F.sum("tp").over(upto).alias("hits")).join(before, [*keys, "part"])
-    points = counted.select(*keys, "part", "tp", (F.col("k") + F.col("n_above")).alias("k"), (F.col("hits") + F.col("hits_above")).alias("hits"))
-    points = points.withColumn("precision", F.col("hits") / F.col("k"))
-    below = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    best = points.groupBy(*keys, "part").agg(F.max("precision").alias("best"))
-    behind = best.select(*keys, "part", F.coalesce(F.max("best").over(below), F.lit(0.0)).alias("behind"))
+    counted = rows.select("*", F.row_number().over(own).alias("k"), *[F.sum(f"tp_{i}").over(upto).alias(f"hits_{i}") for i in which]).join(before, key)
+    points = counted.withColumn("k", F.col("k") + F.col("n_above")).withColumns({f"hits_{i}": F.col(f"hits_{i}") + F.col(f"hits_{i}_above") for i in which})
+    points = points.select(*key, "k", *columns("tp"), *columns("hits"), *[(F.col(f"hits_{i}") / F.col("k")).alias(f"precision_{i}") for i in which])
+    below = Window.partitionBy("class_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    best = points.groupBy(*key).agg(*[F.max(f"precision_{i}").alias(f"best_{i}") for i in which])
+    behind = best.select(*key, *[F.coalesce(F.max(f"best_{i}").over(below), F.lit(0.0)).alias(f"behind_{i}") for i in which])
     # read from the end, so that the frame only grows: one that shrinks would be scanned anew for each row
-    back = Window.partitionBy(*keys, "part").orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, 0)
-    line = points.withColumn("own", F.max("precision").over(back)).where("tp = 1").join(behind, [*keys, "part"])
-    envelope = F.greatest("own", "behind")
-    earlier = F.greatest(envelope, F.coalesce(F.try_divide(F.col("hits") - 1, F.col("k") - 1), F.lit(0.0)))
-    areas = line.groupBy(*keys).agg(F.sum((envelope + earlier) / 2).alias("area"))
-    ends = sizes.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"))
-    asked = n.select("class_id", "truths", F.explode(F.array(*map(F.lit, thresholds))).alias("threshold"))
-    made = asked.join(ends, keys, "left").join(areas, keys, "left")
-    last = (1 - F.col("hits") / F.col("truths")) * (F.col("hits") / F.col("n")) / 2
-    return made.select(*keys, F.round(F.coalesce(F.col("area"), F.lit(0.0)) / F.col("truths") + F.coalesce(last, F.lit(0.0)), 6).alias("ap"))
+    back = Window.partitionBy(*key).orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, 0)
+    line = points.select("*", *[F.max(f"precision_{i}").over(back).alias(f"own_{i}") for i in which]).join(behind, key)
+
+    def area(i: int) -> Column:
+        envelope = F.greatest(f"own_{i}", f"behind_{i}")
+        earlier = F.greatest(envelope, F.coalesce(F.try_divide(F.col(f"hits_{i}") - 1, F.col("k") - 1), F.lit(0.0)))
+        return F.sum(F.when(F.col(f"tp_{i}") == 1, (envelope + earlier) / 2)).alias(f"area_{i}")
+
+    areas = line.groupBy("class_id").agg(*map(area, which))
+    ends = sizes.groupBy("class_id").agg(F.sum("n").alias("n"), *[F.sum(f"hits_{i}").alias(f"hits_{i}") for i in which])
+    made = n.join(ends, "class_id", "left").join(areas, "class_id", "left")
+
+    def ap(i: int) -> Column:
+        last = (1 - F.col(f"hits_{i}") / F.col("truths")) * (F.col(f"hits_{i}") / F.col("n")) / 2
+        return F.round(F.coalesce(F.col(f"area_{i}"), F.lit(0.0)) / F.col("truths") + F.coalesce(last, F.lit(0.0)), 6)
+
+    curves = F.array(*[F.struct(F.lit(t).alias("threshold"), ap(i).alias("ap")) for i, t in enumerate(thresholds)])
+    return made.select("class_id", F.inline(curves))
 
 
 def above_threshold(predictions: DataFrame, threshold: float = 0.3, classes: list[int] | None = None, background: int = 0) -> DataFrame:

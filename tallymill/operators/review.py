@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import validate as V
-from ..functions.let import let
+from ..functions.let import let, staged
 from ..schemas import CORE_FIELDS
 
 
@@ -68,15 +68,37 @@ def document_confidence(fields: DataFrame, core: tuple[str, ...] = CORE_FIELDS)
 
 
 def validate_fields(documents: DataFrame, core: tuple[str, ...] = CORE_FIELDS, reference: Column | None = None) -> DataFrame:
-    """Outcomes of the core fields of wide rows: for each field columns <field>_value, <field>_errors, <field>_warnings.
+    """Outcomes of the core fields of wide rows: for each field a column <field>_outcome, struct(value, errors, warnings).
 
     documents has a column of the field's name and <field>_confidence."""
-    rules = {"acno": V.account, "ifsc": V.branch, "amount": V.amount, "name": V.payee, "date": lambda x: V.date(x, reference if reference is not None else F.lit(None).cast("date"))}
-    return documents.withColumns({f"{f}_outcome": rules[f](F.col(f)) for f in core})
+    return staged(documents, lambda: _outcomes(core, reference))
+
+
+def _outcomes(core: tuple[str, ...], reference: Column | None) -> dict[str, Column]:
+    day = reference if reference is not None else F.lit(None).cast("date")
+    rules = {"acno": V.account, "ifsc": V.branch, "amount": V.amount, "name": V.payee, "date": lambda x: V.date(x, day)}
+    return {f"{f}_outcome": rules[f](F.col(f)) for f in core}
+
+
+#: What a rule says at most.
+MOST_TEXTS = 5
 
 
 def _tagged(texts: Column, tag: str) -> Column:
-    return F.transform(texts, lambda r: F.concat(F.lit(tag), r))
+    return F.concat(*[V.when(F.size(texts) > k, F.concat(F.lit(tag), F.get(texts, F.lit(k)))) for k in range(MOST_TEXTS)])
+
+
+def discrepancies(figures: Column, words: Column, code: Column, bank: Column, present: Column, confidence: Column) -> Column:
+    """Array of struct(check, text, critical): what two fields, or the signature, say against each other."""
+    sign = F.coalesce(confidence, F.lit(0.0))
+    unsigned = V.signature_missing(present, confidence)
+    entry = lambda name, text, critical: F.struct(F.lit(name).alias("check"), text.alias("text"), F.lit(critical).alias("critical"))
+    nothing = F.array().cast("array<struct<check:string,text:string,critical:boolean>>")
+    one = lambda holds, e: F.when(holds, F.array(e)).otherwise(nothing)
+    signature = F.format_string("Signature mark not detected with sufficient confidence (%.2f < 0.50)", sign)
+    return let(V.amount_mismatch(figures, words), lambda amount: let(V.bank_mismatch(code, bank), lambda name: F.concat(
+        one(amount.isNotNull(), entry("amount", amount, True)), one(name.isNotNull(), entry("bank", name, False)), one(unsigned, entry("signature", signature, True)),
+    )))
 
 
 def triage(documents: DataFrame, reference: Column | None = None, words: str = "amt_in_words", bank: str = "bank_name") -> DataFrame:
@@ -85,36 +107,39 @@ def triage(documents: DataFrame, reference: Column | None = None, words: str = "
 
     Reasons come field by field (errors, warnings, low confidence), then missing fields, the signature, and discrepancies
     between fields; errors, missing fields and critical discrepancies make a document invalid."""
-    rows = validate_fields(documents, reference=reference)
-    out = lambda f, part: F.col(f"{f}_outcome")[part]
-    nothing = F.array().cast("array<string>")
+    made = staged(documents, lambda: _verdict(reference, words, bank))
+    return made.select("doc_id", "status", "priority", "review_required", "overall_confidence", "n_fatal", "n_reasons", "reasons")
+
+
+def named(x: Column) -> Column:
+    return x
+
+
+def _verdict(reference: Column | None, words: str, bank: str) -> dict[str, Column]:
+    outcome = {f: let(x, named) for f, x in zip(CORE_FIELDS, _outcomes(CORE_FIELDS, reference).values())}
     reasons, fatal = [], []
     for f in CORE_FIELDS:
-        low = V.low_confidence_reason(F.col(f"{f}_confidence"))
-        own = F.concat(out(f, "errors"), out(f, "warnings"), F.array_compact(F.array(low)).cast("array<string>"))
-        reasons.append(_tagged(own, f"[{f.upper()}] "))
-        fatal.append(out(f, "errors"))
+        low = let(V.low_confidence_reason(F.col(f"{f}_confidence")), named)
+        own = F.concat(outcome[f]["errors"], outcome[f]["warnings"], V.when(low.isNotNull(), low))
+        reasons.append(let(own, lambda texts, f=f: _tagged(texts, f"[{f.upper()}] ")))
+        fatal.append(F.size(outcome[f]["errors"]))
     empty = lambda f: F.trim(F.coalesce(F.col(f).cast("string"), F.lit(""))) == ""
-    missing = F.array_compact(F.array(*[F.when(empty(f), F.lit(f"Mandatory field '{f}' has empty value")) for f in ("acno", "amount", "date", "name", "ifsc")])).cast("array<string>")
+    missing = let(F.concat(*[V.when(empty(f), f"Mandatory field '{f}' has empty value") for f in ("acno", "amount", "date", "name", "ifsc")]), named)
     unsigned, sign = V.signature_missing(F.col("signature_present"), F.col("signature_confidence")), F.coalesce("signature_confidence", F.lit(0.0))
-    amount, bank_text = V.amount_mismatch(out("amount", "value"), F.col(words)), V.bank_mismatch(out("ifsc", "value"), F.col(bank))
-    signature = F.when(unsigned, F.format_string("Signature mark not detected with sufficient confidence (%.2f < 0.50)", sign))
-    apart = F.array_compact(F.array(amount, bank_text, signature)).cast("array<string>")
-    plain = F.array_compact(F.array(F.when(unsigned, F.format_string("Signature unconfirmed in designated signatory area (confidence: %.2f)", sign)))).cast("array<string>")
-    reasons += [missing, plain, _tagged(apart, "[CONSISTENCY] ")]
-    fatal += [missing, F.array_compact(F.array(amount, signature)).cast("array<string>")]
-    facts = F.struct(F.concat(nothing, *reasons).alias("reasons"), F.size(F.concat(nothing, *fatal)).alias("n_fatal"), out("amount", "value").try_cast("double").alias("amount"))
-
-    def judged(f: Column) -> Column:
-        n = F.size(f["reasons"])
-        urgent = (F.coalesce(f["amount"], F.lit(0.0)) >= V.TRIAGE_HIGH_VALUE) | (n >= 3)
-        status = F.when(f["n_fatal"] > 0, "INVALID").when(n > 0, "REVIEW_REQUIRED").when(F.col("overall_confidence") >= V.TIER_HIGH, "VERIFIED").otherwise("PROCESSED")
-        priority = F.when(f["n_fatal"] > 0, "HIGH").when(n > 0, F.when(urgent, "HIGH").otherwise("MEDIUM")).otherwise("LOW")
-        return F.struct(status.alias("status"), priority.alias("priority"), ((f["n_fatal"] > 0) | (n > 0)).alias("review_required"), f["n_fatal"].alias("n_fatal"), n.alias("n_reasons"), f["reasons"].alias("reasons"))
-
-    # inline makes the verdict columns of their own, so filters on them above do not work the rules out again
-    made = rows.select("doc_id", "overall_confidence", F.inline(F.array(let(facts, judged))))
-    return made.select("doc_id", "status", "priority", "review_required", "overall_confidence", "n_fatal", "n_reasons", "reasons")
+    plain = V.when(unsigned, F.format_string("Signature unconfirmed in designated signatory area (confidence: %.2f)", sign))
+    figures, code = outcome["amount"]["value"], outcome["ifsc"]["value"]
+    amount = let(V.amount_mismatch(figures, F.col(words)), named)
+    name = let(V.bank_mismatch(code, F.col(bank)), named)
+    signature = F.format_string("[CONSISTENCY] Signature mark not detected with sufficient confidence (%.2f < 0.50)", sign)
+    apart = [V.when(amount.isNotNull(), F.concat(F.lit("[CONSISTENCY] "), amount)), V.when(name.isNotNull(), F.concat(F.lit("[CONSISTENCY] "), name)), V.when(unsigned, signature)]
+    n_fatal = sum(fatal, F.size(missing)) + amount.isNotNull().cast("int") + F.coalesce(unsigned.cast("int"), F.lit(0))
+    said = let(F.concat(*reasons, missing, plain, *apart), named)
+    n_fatal = let(n_fatal, named)
+    n = F.size(said)
+    urgent = (F.coalesce(figures.try_cast("double"), F.lit(0.0)) >= V.TRIAGE_HIGH_VALUE) | (n >= 3)
+    status = F.when(n_fatal > 0, "INVALID").when(n > 0, "REVIEW_REQUIRED").when(F.col("overall_confidence") >= V.TIER_HIGH, "VERIFIED").otherwise("PROCESSED")
+    priority = F.when(n_fatal > 0, "HIGH").when(n > 0, F.when(urgent, "HIGH").otherwise("MEDIUM")).otherwise("LOW")
+    return {"status": status, "priority": priority, "review_required": (n_fatal > 0) | (n > 0), "n_fatal": n_fatal, "n_reasons": n, "reasons": said}
 
 
 def validation_rows(triaged: DataFrame) -> DataFrame:

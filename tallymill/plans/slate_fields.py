@@ -8,7 +8,9 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import geometry, money, normalize, validate
+from ..functions.let import staged
 from ..operators import evaluate, ledger, mutate, review, tokens
+from ..session import spread
 from ..streaming import ingest
 from .slate import QUERIES, slate
 
@@ -18,7 +20,7 @@ OUT = "normalized_text, is_valid"
 
 
 def _normalized(df, key, raw, rule):
-    return df.select(key, raw.alias("raw")).withColumn("r", rule(F.col("raw"))).select(key, F.col("r.normalized_text").alias("normalized_text"), F.col("r.is_valid").alias("is_valid"))
+    return staged(spread(df).select(key, raw.alias("raw")), lambda: {"r": rule(F.col("raw"))}).select(key, F.col("r.normalized_text").alias("normalized_text"), F.col("r.is_valid").alias("is_valid"))
 
 
 @slate(r"""SELECT c_custkey, d AS normalized_text, regexp_matches(d, '^[0-9]{9,18}$') AS is_valid FROM (SELECT c_custkey, regexp_replace(translate(regexp_replace(raw, '(?i)\b(a/c|acc|account|no|num|number)\b[:.]*', '', 'g'),
@@ -93,7 +95,7 @@ def words_to_number(orders):
     k = F.col("o_orderkey")
     word = lambda n: F.element_at(F.array(*map(F.lit, money.UNITS)), n.cast("int") + 1)
     said = F.concat_ws(" ", word(k % 8), F.lit("Lakhs"), word(k % 19 + 1), F.lit("Thousand"), word(k % 9 + 1), F.lit("hundred and twenty-"), word(k % 7), F.lit("rupees only"))
-    return orders.select("o_orderkey", money.words_to_number(F.when(k % 8 == 0, "as agreed").otherwise(said)).alias("amount"))
+    return spread(orders).select("o_orderkey", money.words_to_number(F.when(k % 8 == 0, "as agreed").otherwise(said)).alias("amount"))
 
 
 # Validation and review
@@ -128,7 +130,7 @@ def validate_fields(orders):
 
 
 def _wide(orders):
-    rows = orders.sparkSession.sql(WIDE.replace("FROM orders", "FROM {orders}"), orders=orders)
+    rows = orders.sparkSession.sql(WIDE.replace("FROM orders", "FROM {orders}"), orders=spread(orders))
     return rows.withColumns({**{f"{f}_confidence": F.col("conf") for f in FIELDS}, "overall_confidence": F.col("conf"), "signature_confidence": F.when(F.col("signature_present"), 0.9).otherwise(0.0), "amt_in_words": F.lit(None).cast("string"), "bank_name": F.lit(None).cast("string")})
 
 
@@ -444,7 +446,7 @@ def detection_metrics(boxes_, truths_):
 @slate(f"SELECT class_id, CAST(threshold AS DOUBLE) AS threshold, ap FROM {AP}")
 def average_precision(boxes_, truths_):
     matched, t = _evaluated(boxes_, truths_)
-    return evaluate.average_precision(evaluate.hits(matched, THRESHOLDS), t, THRESHOLDS)
+    return evaluate.average_precision(matched, t, THRESHOLDS)
 
 
 @slate(f"SELECT round(avg(ap) FILTER (threshold = 0.5), 4) AS map_50, round(avg(ap), 4) AS map_50_95 FROM {AP}")

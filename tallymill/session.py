@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
-SETTINGS = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true"}
+#: Methods beyond HotSpot's limit for compilation run interpreted; rules that would make such a one leave whole-stage code and
+#: are generated expression by expression, in small methods.
+SETTINGS = {"spark.sql.codegen.hugeMethodLimit": "8000", "spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true"}
 
 
 def configured(spark: SparkSession) -> SparkSession:
@@ -12,3 +14,10 @@ def configured(spark: SparkSession) -> SparkSession:
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
     return spark
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The table in at least as many partitions as there are cores, for costly rules over a table that is stored in fewer splits;
+    one that has enough is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
