@@ -30,10 +30,12 @@ def map_parts(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Re
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's own, else (as in tests) one made here."""
+    """The folder that driver and executors share: the session's own, else, on one machine only (as in tests), one made here."""
     sc = spark.sparkContext
     folder = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="tallymill-")
         sc.setCheckpointDir(folder)
     return folder
@@ -62,3 +64,11 @@ def free_name(name: str, *tables: DataFrame) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def first_hashes(rows: DataFrame, h: str, n: int, total: int) -> DataFrame:
+    """Rows whose uniform 64-bit hash is low enough that about twice ``n`` of ``total`` remain, so that taking the first ``n`` of
+    them sends no more than that to the driver; all of them if there are no more."""
+    if total <= 2 * n:
+        return rows
+    return rows.where(F.col(h) < -(1 << 63) + int((1 << 64) * (2 * n / total)))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import map_parts
+from .tables import first_hashes, map_parts
 
 SUFFIXES, SAMPLE = 4096, 20_000
 TREES, DEPTH, BINS, RATE, LEAST = 60, 4, 32, 0.15, 20
@@ -150,7 +150,8 @@ def parsed(pages: DataFrame, rules: list[Rule], id_col: str, url_col: str) -> Da
 
 
 def train(rows: DataFrame, sample: int = SAMPLE) -> Model:
-    """From parsed URLs; those with a rule are labelled."""
+    """From parsed URLs; those with a rule are labelled. Suffix rates count all rows of one half of the URLs; the trees learn from
+    at most ``sample`` distinct URLs of the other, the first in the order of a hash."""
     half, block = F.pmod(F.xxhash64("url", F.lit(1)), F.lit(2)) == 0, F.col("rule.verdict") == "block"
     labelled = F.col("rule").isNotNull()
     told = rows.groupBy("suffix").agg(F.count_if(labelled & half).alias("known"), F.count_if(labelled & half & block).alias("bad")).collect()
@@ -159,7 +160,9 @@ def train(rows: DataFrame, sample: int = SAMPLE) -> Model:
     suffixes = np.full((SUFFIXES, 1), 0.5)
     for r in told:
         suffixes[r["suffix"], 0] = (r["bad"] * odds + 5) / (r["bad"] * odds + r["known"] - r["bad"] + 10)
-    few = rows.where(labelled & ~half).select("url", "host", "path", "suffix", block.alias("y"), F.xxhash64("url", F.lit(2)).alias("h")).orderBy("h", "url").limit(sample).collect()
+    fit = rows.where(labelled & ~half).select("url", "host", "path", "suffix", block.alias("y"), F.xxhash64("url", F.lit(2)).alias("h"))
+    distinct = fit.agg(F.approx_count_distinct("url")).first()[0]
+    few = first_hashes(fit, "h", sample, distinct).dropDuplicates(["url"]).orderBy("h", "url").limit(sample).collect()
     y = np.array([r["y"] for r in few], np.float64)
     if len(set(y)) < 2:
         return Model(suffixes, None)
