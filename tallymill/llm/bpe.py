@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .pieces import pieces, read_ranks, vocabulary_path
-from .tables import map_parts
+from .tables import free_name, map_parts
 
 _BYTES: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
 
@@ -53,7 +53,8 @@ def encode(df: DataFrame, ranks: str, pattern: str, text_col: str = "text", with
     path = vocabulary_path(ranks)
     added = ["ids", *(["byte_ends", "char_starts", "char_ends"] if with_offsets else [])]
     kept = [c for c in df.columns if c not in added and c != text_col]
-    base = df.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
+    held = free_name("__text", df)
+    base = df.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(F.col(text_col), F.lit("")).alias(held))
     names = base.columns
 
     def make():
@@ -71,7 +72,7 @@ def encode(df: DataFrame, ranks: str, pattern: str, text_col: str = "text", with
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema] + [f"{c} {'binary' if packed and c == 'ids' else 'array<int>'}" for c in added])
     out = map_parts(base, make, schema)
-    return out.select(*[F.col(f"`{c}`") for c in kept], F.col("__text").alias(text_col), *added)
+    return out.select(*[F.col(f"`{c}`") for c in kept], F.col(held).alias(text_col), *added)
 
 
 def decode(df: DataFrame, ranks: str, ids_col: str = "ids", out_col: str = "decoded", text: bool = False) -> DataFrame:

@@ -209,3 +209,43 @@ def test_toxicity_edges(spark, texts):
     assert a < 0.5 < b
     assert toxicity.score(df, m).count() == df.count() and toxicity.score(df.limit(0), m).count() == 0
     assert toxicity.reject(df, m).columns == df.columns
+
+
+def test_names_of_columns_may_clash(spark):
+    """Columns of any name are kept, those of the operators' own making included."""
+    from tallymill.llm import near_join
+
+    rows = [(k, f"some words of text {k} that follow each other", "en", k, 0.5, k, k) for k in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, __text int, score double, __at1 int, __score int")
+    model = toxicity.train(df, spark.createDataFrame([(k, k % 2) for k in range(6)], "doc_id long, toxic int"))
+    scored = toxicity.score(df, model)
+    assert scored.columns == [c for c in df.columns if c != "score"] + ["score"] and scored.count() == 6
+    assert {tuple(r) for r in toxicity.reject(df, model).collect()} <= set(rows) and toxicity.reject(df, model).columns == df.columns
+    assert sorted(map(tuple, near_join.reject(df).collect())) == sorted(rows)
+    coded = bpe.encode(df, "byte_bpe_multi_50k.tiktoken", P.PATTERN)
+    assert {(r["doc_id"], r["__text"], r["text"]) for r in coded.collect()} == {(r[0], r[3], r[1]) for r in rows}
+
+
+def naive_score(m, text, words):
+    """One window after another, with empty positions behind the text."""
+    x = [m.embeddings[row].sum(axis=0) for row in words.rows(toxicity.split_words(text))] if text else []
+    at = lambda i: x[i] if i < len(x) else np.zeros(toxicity.DIM)
+    top = []
+    for k, w in enumerate(toxicity.WIDTHS):
+        for f in range(toxicity.FILTERS):
+            made = [sum(at(i + o) @ m.filters[k][o][:, f] for o in range(w)) + m.shifts[k][f] for i in range(len(x) + toxicity.PAD)]
+            top.append(max(0.0, *made))
+    return 1 / (1 + np.exp(-(np.array(top) @ m.out + m.bias)))
+
+
+def test_convolution_is_the_naive_one():
+    """Scores equal those of plain loops over every window of every width, for short texts, long ones and ties at padding."""
+    rng = np.random.default_rng(4)
+    docs = [[f"w{k}" for k in rng.integers(0, 50, n)] for n in (1, 2, 3, 7, 40)] + [[]]
+    texts = [" ".join(d) for d in docs] * 4
+    labels = np.array([k % 2 for k in range(len(texts))])
+    model = toxicity.fit(texts, labels, [None] * len(texts))
+    words = toxicity.WordFeatures()
+    got = toxicity.score_texts(model, texts, words)
+    assert np.allclose(got, toxicity.score_texts(model, texts[::-1], toxicity.WordFeatures())[::-1], atol=1e-5)
+    assert np.allclose(got[: len(docs)], [naive_score(model, t, words) for t in texts[: len(docs)]], atol=1e-4)
