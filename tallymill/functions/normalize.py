@@ -152,3 +152,19 @@ def normalize(raw: Column, field: Column) -> Column:
     for name, make in RULES.items():
         out = F.when(rule == name, make(raw)).otherwise(out)
     return out
+
+
+def account_facts(text: Column) -> Column:
+    """struct(leading_zero, n_digits) of a normalised account number."""
+    return F.struct(F.coalesce(F.startswith(text, F.lit("0")), F.lit(False)).alias("leading_zero"), F.coalesce(F.length(text), F.lit(0)).alias("n_digits"))
+
+
+def branch_parts(code: Column) -> Column:
+    """struct(bank, branch) of a normalised branch code, null parts unless it has all eleven characters."""
+    whole = F.length(code) == 11
+    return F.struct(F.when(whole, F.substr(code, F.lit(1), F.lit(4))).alias("bank"), F.when(whole, F.substr(code, F.lit(6))).alias("branch"))
+
+
+def distinct_steps(*steps: Column) -> Column:
+    """All steps of several rules, each once, in the order of its first use."""
+    return F.array_distinct(F.concat(F.array().cast("array<string>"), *steps))

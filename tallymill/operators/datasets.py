@@ -157,10 +157,10 @@ def coco_images(samples: DataFrame, ordinal: str = "ordinal") -> DataFrame:
     return made.select("split", F.col("image_id").cast("long").alias("image_id"), "sample_id", "file_name", "width", "height")
 
 
-def coco_categories(spark: SparkSession, categories: list[str], supercategory: str) -> DataFrame:
+def coco_categories(spark: SparkSession, categories: list[str]) -> DataFrame:
     """The categories section, ids from 1 in the order given."""
     named = spark.range(len(categories)).select((F.col("id") + 1).cast("int").alias("category_id"))
-    return named.select("category_id", F.element_at(F.array(*map(F.lit, categories)), F.col("category_id")).alias("name"), F.lit(supercategory).alias("supercategory"))
+    return named.select("category_id", F.element_at(F.array(*map(F.lit, categories)), F.col("category_id")).alias("name"))
 
 
 def sample_issues(samples: DataFrame) -> DataFrame:
@@ -178,11 +178,52 @@ def sample_issues(samples: DataFrame) -> DataFrame:
     return samples.withColumn("issues", issues)
 
 
-def audit(samples: DataFrame) -> DataFrame:
+def audit(samples: DataFrame, leaks: DataFrame | None = None) -> DataFrame:
+    """One row: samples in all, without and with issues, how often each kind of issue occurs, and whether splits share contents."""
+    judged = sample_issues(samples)
     bad = F.size("issues") > 0
-    return sample_issues(samples).agg(F.count("*").alias("total"), F.count_if(~bad).alias("valid"), F.count_if(bad).alias("corrupt"))
+    counted = judged.agg(F.count("*").alias("total"), F.count_if(~bad).alias("valid"), F.count_if(bad).alias("corrupt"))
+    kinds = judged.select(F.explode("issues").alias("issue")).groupBy(F.regexp_replace("issue", ":.*", "").alias("kind")).agg(F.count("*").alias("n"))
+    told = counted.join(kinds.agg(F.array_sort(F.collect_list(F.struct("kind", "n"))).alias("details")))
+    if leaks is None:
+        return told.withColumn("has_leakage", F.lit(False))
+    return told.join(leaks.agg((F.count("*") > 0).alias("has_leakage")))
 
 
 def violations(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """Adds violations: the names of the rules that do not hold; a rule on null does not."""
     return rows.withColumn("violations", F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items()])).cast("array<string>"))
+
+
+def of_kind(samples: DataFrame, dataset: str | None = None, kind: str | None = None, dataset_col: str = "dataset", kind_col: str = "annotation_type") -> DataFrame:
+    """Samples of a dataset, of a kind of annotation, or of both."""
+    if dataset is not None:
+        samples = samples.where(F.col(dataset_col) == dataset)
+    return samples if kind is None else samples.where(F.col(kind_col) == kind)
+
+
+def with_samples(manifest: DataFrame, samples: DataFrame, key: str = "sample_id") -> DataFrame:
+    """Manifest rows with what their sample has besides; rows whose sample there is not are left out."""
+    more = [c for c in samples.columns if c not in manifest.columns]
+    return manifest.join(samples.select(key, *more), key)
+
+
+def united(**datasets: DataFrame) -> DataFrame:
+    """All samples of several datasets, each with its dataset's name; columns that one lacks are null."""
+    parts = [rows.withColumn("dataset", F.lit(name)) for name, rows in datasets.items()]
+    out = parts[0]
+    for rows in parts[1:]:
+        out = out.unionByName(rows, allowMissingColumns=True)
+    return out
+
+
+def label_lists(samples: DataFrame, by: str, annotations: str = "annotations") -> DataFrame:
+    """The labels that the samples of each class have, in order. Labels are few, so a class's list is short."""
+    labels = samples.select(by, F.explode(F.map_keys(annotations)).alias("label")).distinct()
+    return labels.groupBy(by).agg(F.array_sort(F.collect_list("label")).alias("labels"))
+
+
+def merged_maps(rows: DataFrame, key: str, maps: str, position: str) -> DataFrame:
+    """(key, name, value): the maps of a key as one; a later map's value wins."""
+    told = rows.select(key, position, F.explode(maps).alias("name", "value"))
+    return told.groupBy(key, "name").agg(F.max_by("value", position).alias("value"))

@@ -177,3 +177,8 @@ def mean_average_precision(ap: DataFrame) -> DataFrame:
 def macro_detection(metrics: DataFrame) -> DataFrame:
     """Means of precision, recall and F1 over the classes with truths."""
     return metrics.where("truths > 0").agg(F.count("*").alias("classes"), *[F.round(F.avg(c), 4).alias(f"macro_{c}") for c in ("precision", "recall", "f1")])
+
+
+def first_errors(cases: DataFrame, ordinal: str = "ordinal", limit: int = 60) -> DataFrame:
+    """The first error cases in the samples' order, for a report: the number is the feature."""
+    return cases.orderBy(ordinal).limit(limit)

@@ -151,3 +151,59 @@ def executive_summary(documents: DataFrame, amounts: DataFrame, checks: DataFram
         latency_stats(runs).select("p50", "p90", "p99"),
     ]
     return reduce(lambda a, b: a.join(b), parts)
+
+
+def dated(children: DataFrame, documents: DataFrame, start: object = None, end: object = None, ts: str = "created_at") -> DataFrame:
+    """Children of documents within a time window; without a bound the documents are not even read."""
+    if start is None and end is None:
+        return children
+    return children.join(within(documents, ts, start, end).select(F.col("id").alias("cheque_id")), "cheque_id", "left_semi")
+
+
+#: What the figures are called in each record of the dashboard.
+RECORDS = {
+    "amounts": {"n": "cheques_with_amount_count", "sum": "total_recognized_amount", "mean": "average_amount", "median": "median_amount", "min": "min_amount", "max": "max_amount", "std": "std_amount"},
+    "reviews": {"total": "total_cheques", "flagged": "review_required_count", "auto_cleared": "auto_cleared_count", "review_rate": "manual_review_rate_pct", "mean_confidence": "average_confidence"},
+    "confidence": {"n": "total_evaluated", "mean": "mean_confidence", "median": "median_confidence", "std": "std_confidence"},
+    "validation": {"total": "total_checks", "valid": "valid_count", "invalid": "invalid_count", "pass_rate": "pass_rate_pct"},
+    "fields": {"n": "total_extractions", "high": "high_tier_count", "medium": "medium_tier_count", "low": "low_tier_count", "by_ocr": "ocr_method_count", "by_recognizer": "recognizer_method_count"},
+    "latency": {"n": "total_runs", "mean": "avg_latency_ms", "min": "min_latency_ms", "max": "max_latency_ms", "p50": "p50_latency_ms", "p90": "p90_latency_ms", "p99": "p99_latency_ms"},
+}
+
+
+def record(name: str, figures: DataFrame) -> DataFrame:
+    """Key figures under the names of the dashboard's record."""
+    return figures.withColumnsRenamed(RECORDS[name])
+
+
+def measures(**records: DataFrame) -> DataFrame:
+    """(record, measure, value) of one-row records."""
+    parts = []
+    for name, row in records.items():
+        numbers = [F.col(c).cast("double").alias(c) for c in row.columns]
+        parts.append(row.select(*numbers).unpivot([], row.columns, "measure", "value").select(F.lit(name).alias("record"), "measure", "value"))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def rates(rows: DataFrame, column: str, everything: DataFrame) -> DataFrame:
+    """Frequencies of a column's values, and their rate over all rows of another table."""
+    total = everything.agg(F.count("*").alias("total"))
+    return rows.groupBy(column).agg(F.count("*").alias("n")).join(total).select(column, "n", percent(F.col("n"), F.col("total")).alias("rate"))
+
+
+def executive_record(documents: DataFrame, amounts: DataFrame, fields: DataFrame, checks: DataFrame, runs: DataFrame, amount: str = "normalized_value") -> DataFrame:
+    """One row with every facet: headline figures, status counts, confidence buckets, validation by type, top reasons and field
+    performance. Facets with several rows are arrays of structs in a fixed order; they have a row a status, type or field."""
+    def gathered(df: DataFrame, name: str) -> DataFrame:
+        return df.agg(F.array_sort(F.collect_list(F.struct(*df.columns))).alias(name))
+
+    histogram = confidence_histogram(documents, "overall_confidence")
+    parts = [
+        executive_summary(documents, amounts, checks, runs, amount),
+        gathered(by_status(documents), "statuses"),
+        histogram.select(F.array(*[c for c in histogram.columns if c.startswith("bucket_")]).alias("confidence_buckets"), F.col("median").alias("confidence_median")),
+        gathered(validation_by_type(checks), "checks_by_type"),
+        gathered(top_reasons(checks).select("n", "validation_reason"), "top_reasons"),
+        gathered(field_performance(fields), "fields"),
+    ]
+    return reduce(lambda a, b: a.join(b), parts)

@@ -75,3 +75,14 @@ def history(documents: DataFrame, fields: DataFrame, runs: DataFrame, names: tup
     last = latest_run(runs).select(F.col("cheque_id").alias("id"), F.round("total_latency_ms", 1).alias("latency"))
     made = documents.select("id", "status", "review_required", amount.alias("__amount")).join(values, "id", "left").join(last, "id", "left")
     return made.select("id", "status", F.when(F.col("review_required"), "YES").otherwise("NO").alias("review"), *[F.coalesce(n, F.lit("-")).alias(n) for n in names if n != "amount"], F.coalesce(F.format_number("__amount", 2), F.lit("-")).alias("amount"), F.coalesce("latency", F.lit(0.0)).alias("latency"))
+
+
+def lookup(rows: DataFrame, key: str, value: object) -> DataFrame:
+    """The rows with this key; the comparison reaches the scan. Null finds none."""
+    return rows.where(F.col(key) == F.lit(value))
+
+
+def fields_by_name(fields: DataFrame) -> DataFrame:
+    """For each document its fields' names in order, a name as often as it has rows, then by id."""
+    named = F.array_sort(F.collect_list(F.struct("field_name", "id")))
+    return fields.groupBy("cheque_id").agg(named.alias("named")).select("cheque_id", F.col("named.field_name").alias("names"), F.col("named.id").alias("ids"))

@@ -85,16 +85,63 @@ def orphans(children: DataFrame, column: str, parents: DataFrame, key: str = "id
 
 
 def persist_result(documents: DataFrame, results: DataFrame, now: Column) -> dict[str, DataFrame]:
-    """The five tables' rows of a batch of results (doc_id, image_hash, status, overall_confidence, review_required, latency,
-    fields array<struct>, reasons, priority): documents as an upsert, the others to append."""
+    """The five tables' rows of a batch of results (doc_id, image_hash, status, overall_confidence, review_required, run_status,
+    latency, fields array<struct>, reasons, priority): documents as an upsert, the others to append.
+
+    A document's results carry the id of their run, a hash of document and image, so a batch that is written again is known
+    by its ids. A document with several results counts with the last by image hash; a failed run keeps its status."""
     from .review import prediction_rows, validation_rows
 
-    changes = results.select(F.col("doc_id").alias("id"), "status", "overall_confidence", "review_required", now.alias("updated_at"))
-    fields = results.select("doc_id", F.inline("fields"))
+    once = last_changes(results, ["doc_id"], "image_hash")
+    once = once.withColumn("run_id", F.xxhash64("doc_id", "image_hash"))
+    changes = once.select(F.col("doc_id").alias("id"), "status", "overall_confidence", "review_required", now.alias("updated_at"))
+    fields = once.select("doc_id", "run_id", F.inline("fields"))
+    runs = once.select(F.col("run_id").alias("id"), F.col("doc_id").alias("cheque_id"), now.alias("run_timestamp"), F.coalesce("run_status", F.lit("SUCCESS")).alias("status"), F.col("latency").alias("total_latency_ms"))
+    owned = lambda rows: rows.join(once.select("doc_id", "run_id"), "doc_id").withColumnsRenamed({"doc_id": "cheque_id", "run_id": "processing_run_id"})
     return {
         "documents": upsert(documents, changes, ["id"]),
-        "processing_runs": results.select(F.col("doc_id").alias("cheque_id"), now.alias("run_timestamp"), F.lit("SUCCESS").alias("status"), F.col("latency").alias("total_latency_ms")),
-        "extracted_fields": fields.withColumnRenamed("doc_id", "cheque_id"),
-        "predictions": prediction_rows(fields),
-        "validation_results": validation_rows(results),
+        "processing_runs": runs,
+        "extracted_fields": fields.withColumnsRenamed({"doc_id": "cheque_id", "run_id": "processing_run_id"}).withColumn("id", F.xxhash64("processing_run_id", "field_name")),
+        "predictions": owned(prediction_rows(fields.drop("run_id"))),
+        "validation_results": owned(validation_rows(once)),
     }
+
+
+def last_changes(changes: DataFrame, key: list[str], order: str) -> DataFrame:
+    """One row for each key: the last by ``order``, so that repeated changes do not multiply what they change."""
+    rest = [c for c in changes.columns if c not in key]
+    return changes.groupBy(*key).agg(F.max_by(F.struct(*rest), order).alias("__last")).select(*key, "__last.*")
+
+
+def short_id(*parts: Column) -> Column:
+    """A reproducible identifier: the first eight hexadecimal digits, upper case, of a digest."""
+    return F.upper(F.substr(F.sha2(F.concat_ws("|", *[p.cast("string") for p in parts]), 256), F.lit(1), F.lit(8)))
+
+
+def correct_documents(documents: DataFrame, fields: DataFrame, checks: DataFrame, corrections: DataFrame, reviewer: Column, now: Column, status: str = "VERIFIED") -> dict[str, DataFrame]:
+    """The correction of documents as one change: their fields take the values (the last of repeated ones), all their checks
+    are resolved as corrected, and with status VERIFIED the review flag is cleared and the checks are valid."""
+    once = last_changes(corrections, ["cheque_id", "field_name"], "order").drop("order")
+    touched = once.select("cheque_id").distinct().withColumn("__hit", F.lit(True))
+    new = checks.join(touched, "cheque_id", "left")
+    hit, verified = F.coalesce("__hit", F.lit(False)), status == "VERIFIED"
+    take = {"review_resolution": F.lit("CORRECTED"), "reviewed_by_user_id": reviewer, "reviewed_at": now}
+    if verified:
+        take |= {"is_valid": F.lit(True), "validation_status": F.lit("VALID")}
+    changes = touched.select(F.col("cheque_id").alias("id"), F.lit(status).alias("status"), *([F.lit(False).alias("review_required")] if verified else []))
+    return {
+        "documents": update_status(documents, changes, now),
+        "fields": apply_corrections(fields, once),
+        "checks": new.select(*[F.when(hit, take[c]).otherwise(F.col(c)).alias(c) if c in take else F.col(c) for c in checks.columns]),
+    }
+
+
+def resolve_documents(documents: DataFrame, fields: DataFrame, checks: DataFrame, resolutions: DataFrame, corrections: DataFrame, now: Column) -> dict[str, DataFrame]:
+    """Resolutions of single checks with the corrections that go with them; a document whose checks are all resolved now, and
+    that had a resolution, becomes VERIFIED and loses its review flag. Of repeated resolutions and corrections the last counts."""
+    resolved = resolve_checks(checks, last_changes(resolutions, ["id"], "order").drop("order"), now)
+    touched = checks.join(resolutions.select("id").distinct(), "id", "left_semi").select("cheque_id").distinct()
+    done = promoted(resolved).join(touched, "cheque_id", "left_semi")
+    changes = done.select(F.col("cheque_id").alias("id"), F.lit("VERIFIED").alias("status"), F.lit(False).alias("review_required"))
+    once = last_changes(corrections, ["cheque_id", "field_name"], "order").drop("order")
+    return {"documents": update_status(documents, changes, now), "fields": apply_corrections(fields, once), "checks": resolved}

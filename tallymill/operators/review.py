@@ -107,7 +107,9 @@ def triage(documents: DataFrame, reference: Column | None = None, words: str = "
 
     Reasons come field by field (errors, warnings, low confidence), then missing fields, the signature, and discrepancies
     between fields; errors, missing fields and critical discrepancies make a document invalid."""
-    made = staged(documents, lambda: _verdict(reference, words, bank))
+    made = staged(documents, lambda: {"__verdict": F.struct(*[x.alias(c) for c, x in _verdict(reference, words, bank).items()])})
+    # inline makes the verdict columns of their own, so filters on them above do not work the rules out again
+    made = made.select("doc_id", "overall_confidence", F.inline(F.array("__verdict")))
     return made.select("doc_id", "status", "priority", "review_required", "overall_confidence", "n_fatal", "n_reasons", "reasons")
 
 

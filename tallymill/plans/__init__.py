@@ -1,6 +1,6 @@
 """The operators bound to the driver's tables."""
 
 from .slate import ORACLES, QUERIES  # noqa: I001
-from . import slate_fields  # noqa: F401  (registers its queries)
+from . import slate_fields, slate_more  # noqa: F401  (register their queries)
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -435,9 +435,12 @@ def box_matches(boxes_, truths_):
     return _evaluated(boxes_, truths_)[0].select("image_id", "class_id", "pred_id", "truth_id", F.round("iou", 6).alias("iou"))
 
 
-@slate(f"""SELECT class_id, truths, CAST(predictions AS BIGINT) AS predictions, CAST(tp AS BIGINT) AS tp, CAST(predictions - tp AS BIGINT) AS fp, CAST(truths - tp AS BIGINT) AS fn, round(p, 4) AS precision, round(r, 4) AS recall, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 4) AS f1 FROM (
+DETECTED = f"""SELECT class_id, truths, CAST(predictions AS BIGINT) AS predictions, CAST(tp AS BIGINT) AS tp, CAST(predictions - tp AS BIGINT) AS fp, CAST(truths - tp AS BIGINT) AS fn, round(p, 4) AS precision, round(r, 4) AS recall, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 4) AS f1 FROM (
     SELECT *, coalesce(tp / nullif(CAST(predictions AS DOUBLE), 0), 0) AS p, coalesce(tp / CAST(truths AS DOUBLE), 0) AS r FROM (SELECT n.class_id, truths, coalesce(predictions, 0) AS predictions, coalesce(tp, 0) AS tp FROM (SELECT class_id, count(*) AS truths FROM {UNIQUE_TRUTHS} GROUP BY 1) n
-    LEFT JOIN (SELECT class_id, count(*) AS predictions, sum(tp) AS tp FROM {HITS} WHERE threshold = 0.5 GROUP BY 1) h ON h.class_id = n.class_id))""")
+    LEFT JOIN (SELECT class_id, count(*) AS predictions, sum(tp) AS tp FROM {HITS} WHERE threshold = 0.5 GROUP BY 1) h ON h.class_id = n.class_id))"""
+
+
+@slate(DETECTED)
 def detection_metrics(boxes_, truths_):
     matched, t = _evaluated(boxes_, truths_)
     return evaluate.detection_metrics(evaluate.hits(matched, THRESHOLDS), t)

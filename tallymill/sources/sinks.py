@@ -38,3 +38,11 @@ def executive_markdown(summary: DataFrame, fields: DataFrame, statuses: DataFram
         rows = df.limit(100).collect()
         lines += [f"## {title}", "", "| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns), *["| " + " | ".join(str(v) for v in r) + " |" for r in rows], ""]
     return "\n".join(lines)
+
+
+def metrics_json(metrics: DataFrame, cases: DataFrame, path: str, limit: int = 60) -> None:
+    """One JSON object: the figures (a row) and the first error cases in order."""
+    from ..operators.evaluate import first_errors
+
+    listed = first_errors(cases, limit=limit).agg(F.sort_array(F.collect_list(F.struct("ordinal", *[c for c in cases.columns if c != "ordinal"]))).alias("error_cases"))
+    metrics.join(listed).coalesce(1).write.mode("overwrite").json(path)
