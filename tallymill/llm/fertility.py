@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .pieces import Pieces, model_encoder, slices, vocabulary_path
-from .tables import map_parts
+from .tables import map_parts, remembered
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 WORD_END = re.compile(r"(?<=[^\x20\x09-\x0D])[\x20\x09-\x0D]")
@@ -138,13 +138,8 @@ class Measurer:
         return n, chars, repeated_words(np.concatenate(hashes)), histogram
 
 
-_KEPT: dict[str, Measurer] = {}
-
-
 def measurer(path: str) -> Measurer:
-    if path not in _KEPT:
-        _KEPT[path] = Measurer(path)
-    return _KEPT[path]
+    return remembered(("measurer", path), lambda: Measurer(path))
 
 
 def measure(docs: DataFrame, vocabulary: str = "piece_bpe_32k.model", text_col: str = "text", lang_col: str = "lang", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -36,7 +36,7 @@ from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from .components import connected_components
 from .pieces import slices
-from .tables import free_name, look_up, map_parts, settle
+from .tables import free_name, look_up, map_parts, remembered, settle
 
 WORDS, THRESHOLD, RECALL, TREES, LONGEST = 5, 0.8, 0.9999, 24, 8
 #: Deviations that a likely link's signature may lie below the threshold.
@@ -67,11 +67,8 @@ class WordHashes(dict):
         return h
 
 
-_HASHES = WordHashes()
-
-
 def worker_hashes() -> WordHashes:
-    return _HASHES
+    return remembered("words of near_join", WordHashes)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

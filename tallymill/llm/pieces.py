@@ -16,6 +16,8 @@ from itertools import chain, repeat
 
 import numpy as np
 
+from .tables import remembered
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: The characters with Unicode's White_Space property, which is what \\s means to the vocabularies.
@@ -201,11 +203,7 @@ def ranks_encoder(path: str, pattern: str) -> Callable[[list[str]], list[list[in
     return with_single_words(t.model, prepared(t), lambda texts: [x.ids for x in t.encode_batch_fast(texts, add_special_tokens=False)])
 
 
-_KEPT: dict[tuple, Pieces] = {}
-
-
 def pieces(path: str, pattern: str | None = None) -> Pieces:
     """This worker's pieces of a vocabulary file: .json, .model, or ranks with the pattern that splits before the merges."""
-    if (path, pattern) not in _KEPT:
-        _KEPT[path, pattern] = Pieces(json_encoder(path) if path.endswith(".json") else model_encoder(path) if path.endswith(".model") else ranks_encoder(path, pattern))
-    return _KEPT[path, pattern]
+    made = lambda: json_encoder(path) if path.endswith(".json") else model_encoder(path) if path.endswith(".model") else ranks_encoder(path, pattern)
+    return remembered(("pieces", path, pattern), lambda: Pieces(made()))

@@ -17,6 +17,18 @@ ROWS_AT_ONCE = 256
 PARTS = 64
 
 
+_HELD: dict[object, object] = {}
+
+
+def remembered(name: object, make: Callable[[], object]) -> object:
+    """What a worker keeps between tasks of one operator, made when first asked for. Workers live on from stage to stage, so what
+    another operator kept there is let go first: a worker's memory is that of one operator, however many stages it served."""
+    if name not in _HELD:
+        _HELD.clear()
+        _HELD[name] = make()
+    return _HELD[name]
+
+
 def map_parts(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str | StructType, rows: int = ROWS_AT_ONCE) -> DataFrame:
     """mapInArrow with bounded parts: ``make`` runs once in each task and gives what is applied to each part."""
 

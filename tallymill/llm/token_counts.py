@@ -18,10 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .pieces import CHUNK, KEEP_CHARS, KEEP_CHUNKS, json_encoder, model_encoder, slices, vocabulary_path
-from .tables import map_parts
-
-_KEPT: dict[str, PieceCounts] = {}
-
+from .tables import map_parts, remembered
 
 class PieceCounts:
     """How many pieces each chunk has; of many chunks, those met again are remembered."""
@@ -67,9 +64,7 @@ class PieceCounts:
 
 def piece_counts(path: str) -> PieceCounts:
     """This worker's counts for a vocabulary file."""
-    if path not in _KEPT:
-        _KEPT[path] = PieceCounts(path)
-    return _KEPT[path]
+    return remembered(("counts", path), lambda: PieceCounts(path))
 
 
 def count_tokens(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024) -> DataFrame:
