@@ -1,15 +1,18 @@
 """Approximate nearest neighbours by inner product: a hierarchical navigable small-world graph per shard, merged results.
 
-Distinct vectors are dealt by hash into shards of bounded size. A shard's graph is built in one task and stored as flat
-neighbour arrays in one row of the index table, which is written out; every row of the input is indexed, equal vectors as
-one node that carries the smallest ids that any query could need. To search for the largest inner product, vectors get one
-more component that makes them equally long, queries a zero there. Queries are dealt in blocks to every shard of their
-dimension; a shard's candidates are scored in double precision on the original vectors, and the best of all shards are kept,
-ties to the smaller id.
-
-Vectors that are null, zero, empty, or hold null or non-finite components take no part, as rows and as queries. Queries see
-vectors of their own dimension. Repeated rows count as one neighbour. An empty table gives an empty table; other columns
-are ignored.
+To search for the largest inner product, vectors get one more component that makes them equally long, queries a zero there.
+Centroids, fitted on a bounded sample of the distinct vectors, part a dimension into cells, and cells of more than SHARD_ROWS
+vectors are dealt on by hash, so every shard is of bounded size. A shard's graph is built in one task and stored as flat
+neighbour arrays in one row of the index table, which is written out; every row of the input is indexed, equal vectors as one
+node that carries the smallest ids that any query could need. Equal queries are searched once, in the cells nearest to them
+alone: as many as hold ROUTED of the true neighbours within the sample, whose neighbours lie further apart than those in the
+whole table. A shard's candidates are scored in double precision on the original vectors, and the best of all shards are
+kept, ties to the smaller id.
+
+Vectors that are null, zero, empty, or hold null or non-finite components take no part, as rows and as queries, nor do rows
+without an id. Ids become longs. Queries see vectors of their own dimension. Repeated rows count as one neighbour; an id with
+several vectors is a candidate with each, and searched by the least (it then finds at least k less the rows that it has). An
+empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,10 +25,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import map_parts, settle
+from .tables import first_hashes, look_up, map_parts, settle
 
 LINKS, BUILD_WIDTH, SEARCH_WIDTH = 12, 64, 64
-SHARD_ROWS, LEAST_SHARDS, BLOCK_QUERIES = 20_000, 6, 4000
+SHARD_ROWS, BLOCK_QUERIES = 20_000, 4000
+#: Cells of a dimension, at least (if it has FEW vectors or more), and of all dimensions together, at most.
+LEAST_CELLS, MOST_CELLS, FEW = 6, 4096, 600
+#: Centroids are fitted on about twice so many vectors, of no more than so many bytes; the cells that a query visits are to hold
+#: this share of its neighbours.
+SAMPLE, SAMPLE_BYTES, ROUTED = 10_000, 32 << 20, 0.98
+#: Sampled vectors compared with all others at once.
+AT_ONCE = 64
 
 
 class Graph:
@@ -155,77 +165,201 @@ class Graph:
         return g
 
 
-def equal_length(x: np.ndarray) -> np.ndarray:
-    """Unit vectors whose inner products with (q, 0) order as those of x with q."""
+def equal_length(x: np.ndarray, most: float | None = None) -> np.ndarray:
+    """Unit vectors whose inner products with (q, 0) order as those of x with q; ``most`` is the largest squared length."""
     norms = (x**2).sum(axis=1)
-    most = norms.max(initial=0) or 1.0
+    most = most or norms.max(initial=0) or 1.0
     return np.concatenate((x, np.sqrt(np.maximum(most - norms, 0))[:, None]), axis=1).astype(np.float32) / np.float32(np.sqrt(most))
 
 
+def directions(x: np.ndarray) -> np.ndarray:
+    """Queries as they meet vectors of equal length."""
+    return np.concatenate((x / np.sqrt((x**2).sum(axis=1))[:, None], np.zeros((len(x), 1))), axis=1).astype(np.float32)
+
+
+def stacked(vectors: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(vectors), "<f8").reshape(len(vectors), -1)
+
+
+class Cells:
+    """Centroids of one dimension, and how many cells a query visits."""
+
+    def __init__(self, centroids: np.ndarray, most: float, visited: int):
+        self.centroids, self.most, self.visited = centroids, most, visited
+
+    @classmethod
+    def fit(cls, x: np.ndarray, cells: int, most: float, k: int, rounds: int = 8) -> Cells:
+        unit = equal_length(x, most)
+        made = cls(unit[:cells].copy(), most, cells)
+        for _ in range(rounds):
+            at = made.of(unit)
+            sums, counts = np.zeros_like(made.centroids), np.bincount(at, minlength=cells)
+            np.add.at(sums, at, unit)
+            made.centroids[counts > 0] = sums[counts > 0] / counts[counts > 0, None]
+        at, ranks, k = made.of(unit), [], min(k, len(x) - 1)
+        for lo in range(0, min(512, len(x)), AT_ONCE):
+            asked = x[lo : min(lo + AT_ONCE, 512)]
+            scores = asked @ x.T
+            scores[np.arange(len(asked)), lo + np.arange(len(asked))] = -np.inf
+            near = np.argpartition(scores, len(x) - k, axis=1)[:, len(x) - k :]
+            order = np.argsort(np.argsort(-(directions(asked) @ made.centroids.T), axis=1, kind="stable"), axis=1)
+            ranks.append(np.take_along_axis(order, at[near], axis=1).ravel())
+        taken = np.sort(np.concatenate(ranks))
+        made.visited = int(taken[min(len(taken) - 1, int(np.ceil(ROUTED * len(taken))))]) + 1
+        return made
+
+    def of(self, unit: np.ndarray) -> np.ndarray:
+        half = (self.centroids**2).sum(axis=1) / 2
+        return np.concatenate([np.zeros(0, int), *((unit[at : at + 1024] @ self.centroids.T - half).argmax(axis=1) for at in range(0, len(unit), 1024))])
+
+    def nearest(self, x: np.ndarray) -> np.ndarray:
+        return np.argsort(-(directions(x) @ self.centroids.T), axis=1, kind="stable")[:, : self.visited]
+
+
 def prepared(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(id, dim, vector): usable vectors as little-endian doubles."""
+    """(id, dim, vector, norm): usable vectors as little-endian doubles, and their squared lengths."""
 
     def make():
         def part(b: pa.RecordBatch) -> pa.RecordBatch:
             made = []
             for v in b.column(1).to_pylist():
                 x = None if not v or None in v else np.array(v, "<f8")
-                made.append(x.tobytes() if x is not None and np.isfinite(x).all() and x.any() else None)
-            return pa.record_batch([b.column(0), pa.array([len(x) // 8 if x else None for x in made], pa.int32()), pa.array(made, pa.binary())], ["id", "dim", "vector"])
+                made.append(x if x is not None and np.isfinite(x).all() and x.any() else None)
+            dims = pa.array([None if x is None else len(x) for x in made], pa.int32())
+            norms = pa.array([None if x is None else float(x @ x) for x in made], pa.float64())
+            return pa.record_batch([b.column(0), dims, pa.array([None if x is None else x.tobytes() for x in made], pa.binary()), norms], ["id", "dim", "vector", "norm"])
 
         return part
 
-    rows = map_parts(table.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")), make, "id long, dim int, vector binary", 2048)
+    rows = map_parts(table.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")), make, "id long, dim int, vector binary, norm double", 2048)
     return rows.where("vector is not null and id is not null")
 
 
-def build(rows: DataFrame, most_ids: int) -> tuple[DataFrame, int]:
-    """The index, one row a shard (vectors, the flat graph, and the ids of each node), and the number of shards of a dimension."""
-    numbered = rows.withColumn("n", F.row_number().over(Window.partitionBy("vector").orderBy("id"))).where(F.col("n") <= most_ids)
-    nodes = settle(numbered.groupBy("dim", "vector").agg(F.sort_array(F.collect_set("id")).alias("ids")))
-    shards = max(LEAST_SHARDS, -(-nodes.count() // SHARD_ROWS))
+def fit_cells(nodes: DataFrame, k: int) -> dict[int, Cells]:
+    """The cells of each dimension that has more than one. What reaches the driver is bounded: there are at most MOST_CELLS cells,
+    and so dimensions with cells, and the sample is cut by a hash."""
+    total, widest = nodes.agg(F.count("*"), F.max("dim")).first()
+    if not total:
+        return {}
+    n = F.col("n")
+    wanted = F.least(F.greatest(F.ceil(n / SHARD_ROWS), F.lit(LEAST_CELLS)), F.floor(n * MOST_CELLS / total)).cast("int")
+    sizes = nodes.groupBy("dim").agg(F.count("*").alias("n"), F.max("norm").alias("most")).withColumn("cells", wanted)
+    large = {r["dim"]: r for r in sizes.where((n >= FEW) & (F.col("cells") > 1)).collect()}
+    if not large:
+        return {}
+    sample = first_hashes(nodes.withColumn("h", F.xxhash64("vector", F.lit("sample"))), "h", min(SAMPLE, SAMPLE_BYTES // (8 * widest)), total)
+    drawn: dict[int, list] = {}
+    for r in sample.where(F.col("dim").isin(list(large))).select("dim", "h", "vector").collect():
+        drawn.setdefault(r["dim"], []).append((r["h"], bytes(r["vector"])))
+    fitted = {}
+    for dim, rows in drawn.items():
+        cells = min(int(large[dim]["cells"]), len(rows) // 4)
+        if cells > 1:
+            fitted[dim] = Cells.fit(stacked([v for _, v in sorted(rows)]), cells, float(large[dim]["most"]), k)
+    return fitted
+
+
+def by_dimension(b: pa.RecordBatch):
+    """(dimension, positions, vectors) of a batch."""
+    dims, vectors = np.asarray(b.column("dim")), b.column("vector").to_pylist()
+    for dim in np.unique(dims).tolist():
+        at = np.flatnonzero(dims == dim)
+        yield dim, at, stacked([vectors[i] for i in at])
+
+
+def placed(nodes: DataFrame, cells: dict[int, Cells]) -> DataFrame:
+    """(place, dim, vector, ids): place names dimension and cell."""
+
+    def make():
+        def part(b: pa.RecordBatch) -> pa.RecordBatch:
+            places = np.empty(b.num_rows, object)
+            for dim, at, x in by_dimension(b):
+                c = cells.get(dim)
+                places[at] = [f"{dim}/{i}" for i in (c.of(equal_length(x, c.most)) if c else np.zeros(len(at), int)).tolist()]
+            return pa.record_batch([pa.array(places.tolist(), pa.string()), *b.columns], ["place", "dim", "vector", "ids"])
+
+        return part
+
+    return map_parts(nodes.select("dim", "vector", "ids"), make, "place string, dim int, vector binary, ids array<long>", 2048)
+
+
+def routed(queries: DataFrame, cells: dict[int, Cells]) -> DataFrame:
+    """(query, vector, place): a row for each cell that a query visits."""
+
+    def make():
+        def part(b: pa.RecordBatch) -> pa.RecordBatch:
+            rows, places = [], []
+            for dim, at, x in by_dimension(b):
+                visits = cells[dim].nearest(x) if dim in cells else np.zeros((len(at), 1), int)
+                rows.append(np.repeat(at, visits.shape[1]))
+                places += [f"{dim}/{i}" for i in visits.ravel().tolist()]
+            at = pa.array(np.concatenate([np.zeros(0, np.int64), *rows]).astype(np.int64))
+            return pa.record_batch([b.column("query").take(at), b.column("vector").take(at), pa.array(places, pa.string())], ["query", "vector", "place"])
+
+        return part
+
+    return map_parts(queries.select("query", "dim", "vector"), make, "query long, vector binary, place string", 512)
+
+
+def index(nodes: DataFrame) -> DataFrame:
+    """One row a shard: its vectors, the flat graph, and the ids of each node."""
 
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.assign(least=[x[0] for x in pdf["ids"]]).sort_values("least", kind="stable")
-        vectors = np.frombuffer(b"".join(pdf["vector"]), "<f8").reshape(len(pdf), -1)
+        vectors = stacked(list(pdf["vector"]))
         level0, upper, lists, entry = Graph.build(equal_length(vectors)).flat()
         ids = [np.asarray(x, np.int64) for x in pdf["ids"]]
-        return pd.DataFrame({"dim": [key[0]], "shard": [key[1]], "vectors": [vectors.tobytes()], "level0": [level0], "upper": [upper], "lists": [lists], "entry": [entry], "ids": [np.concatenate(ids).tobytes()], "sizes": [np.array([len(x) for x in ids], np.int32).tobytes()]})
+        sizes = np.array([len(x) for x in ids], np.int32).tobytes()
+        return pd.DataFrame({"place": [key[0]], "sub": [key[1]], "vectors": [vectors.tobytes()], "level0": [level0], "upper": [upper], "lists": [lists], "entry": [entry], "ids": [np.concatenate(ids).tobytes()], "sizes": [sizes]})
 
-    dealt = nodes.withColumn("shard", F.pmod(F.xxhash64("vector"), F.lit(shards)).cast("int")).repartition("dim", "shard")
-    made = dealt.groupBy("dim", "shard").applyInPandas(one, "dim int, shard int, vectors binary, level0 binary, upper binary, lists binary, entry int, ids binary, sizes binary")
-    return settle(made), shards
+    dealt = nodes.withColumn("sub", F.pmod(F.xxhash64("vector"), "subs").cast("int")).select("place", "sub", "vector", "ids").repartition("place", "sub")
+    return dealt.groupBy("place", "sub").applyInPandas(one, "place string, sub int, vectors binary, level0 binary, upper binary, lists binary, entry int, ids binary, sizes binary")
 
 
 def search(table: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", width: int = SEARCH_WIDTH) -> DataFrame:
-    """query_id, rank, id, score: the k nearest rows of each query row, itself left out."""
+    """query_id, rank, id, score: the k nearest rows of each query row, itself left out. ``is_query`` sees the column ``id``."""
     rows = settle(prepared(table, id_col, vector_col))
-    index, shards = build(rows, k + 1)
-    queries = rows.where(is_query).dropDuplicates(["id"])
-    blocks = max(1, -(-queries.count() // BLOCK_QUERIES))
-    dealt = queries.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    asked = dealt.select("id", "vector", "dim", "block", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-    held = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    numbered = rows.withColumn("n", F.row_number().over(Window.partitionBy("vector").orderBy("id"))).where(F.col("n") <= k + 1)
+    nodes = settle(numbered.groupBy("dim", "vector").agg(F.sort_array(F.collect_set("id")).alias("ids"), F.max("norm").alias("norm")))
+    cells = fit_cells(nodes, k)
+    there = placed(nodes, cells)
+
+    # equal queries are one, named by the least id
+    members = rows.where(is_query).groupBy("id").agg(F.min(F.struct("dim", "vector")).alias("v")).select("id", "v.dim", "v.vector")
+    queries = settle(members.groupBy("dim", "vector").agg(F.min("id").alias("query")))
+    visits = routed(queries, cells)
+
+    # one row a cell: its shards, and the blocks in which queries come to it
+    shards = there.groupBy("place").agg(F.ceil(F.count("*") / SHARD_ROWS).cast("int").alias("subs"))
+    blocks = visits.groupBy("place").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("blocks"))
+    places = settle(shards.join(blocks, "place", "left"))
+
+    built = settle(index(look_up(there, "place", "vector", places)))
+    asked = look_up(visits, "place", "query", places).where("subs is not null").withColumn("block", F.pmod(F.xxhash64("query"), "blocks").cast("int"))
+    asked = asked.select("query", "vector", "place", "block", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("sub"))
+    held = built.join(places.where("blocks is not null").select("place", "blocks"), "place").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
 
     def one(key: tuple, shard: pd.DataFrame, qs: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[int, int, float]] = []
         if len(shard) and len(qs):
             s = shard.iloc[0]
-            vectors = np.frombuffer(s["vectors"], "<f8").reshape(-1, int(key[0]))
+            vectors = np.frombuffer(s["vectors"], "<f8").reshape(-1, int(key[0].split("/")[0]))
             graph = Graph.load(equal_length(vectors), s["level0"], s["upper"], s["lists"], int(s["entry"]))
             sizes = np.frombuffer(s["sizes"], np.int32)
             ends = np.cumsum(sizes)
             ids = np.frombuffer(s["ids"], np.int64)
-            for q, v in zip(qs["id"], qs["vector"]):
-                x = np.frombuffer(v, "<f8")
-                unit = np.append(x / np.sqrt(x @ x), 0).astype(np.float32)
-                nodes = graph.nearest(unit, max(width, k + 1))
-                scores = vectors[nodes] @ x
-                found = sorted((-sc, int(i)) for sc, node in zip(scores.tolist(), nodes) for i in ids[ends[node] - sizes[node] : ends[node]] if i != q)
-                out += [(int(q), i, -sc) for sc, i in found[:k]]
-        return pd.DataFrame(out, columns=["query_id", "id", "score"]).astype({"query_id": "int64", "id": "int64", "score": "float64"})
-
-    by = ["dim", "shard", "block"]
-    found = held.groupBy(*by).cogroup(asked.groupBy(*by)).applyInPandas(one, "query_id long, id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
+            x = stacked(list(qs["vector"]))
+            for q, v, unit in zip(qs["query"], x, directions(x)):
+                at = graph.nearest(unit, max(width, k + 1))
+                scores = vectors[at] @ v
+                found = sorted((-sc, int(i)) for sc, node in zip(scores.tolist(), at) for i in ids[ends[node] - sizes[node] : ends[node]])
+                out += [(int(q), i, -sc) for sc, i in found[: k + 1]]
+        return pd.DataFrame(out, columns=["query", "id", "score"]).astype({"query": "int64", "id": "int64", "score": "float64"})
+
+    by = ["place", "sub", "block"]
+    found = held.groupBy(*by).cogroup(asked.groupBy(*by)).applyInPandas(one, "query long, id long, score double")
+    best = found.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k + 1)
+    near = best.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("rank", "id", "score"))).alias("near"))
+    told = look_up(members.select("id", "vector"), "vector", "id", queries.join(near, "query").select("vector", "near"))
+    others = F.slice(F.filter("near", lambda x: x["id"] != F.col("id")), 1, k)
+    return told.select(F.col("id").alias("query_id"), F.posexplode(others)).select("query_id", (F.col("pos") + 1).alias("rank"), F.col("col.id").alias(id_col), F.col("col.score").alias("score"))

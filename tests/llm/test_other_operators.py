@@ -197,6 +197,29 @@ def test_neighbours_edges(spark):
     assert ann.search(df.limit(0), F.col("id") % 20 == 0).count() == 0
 
 
+def test_neighbours_through_cells_and_shards(spark, monkeypatch):
+    """Cells of uneven size, shards and blocks within them, a hot vector, and lengths that differ."""
+    monkeypatch.setattr(ann, "SHARD_ROWS", 150)
+    monkeypatch.setattr(ann, "BLOCK_QUERIES", 20)
+    rng = np.random.default_rng(8)
+    middles = rng.normal(size=(25, 16)) * 2
+    x = middles[rng.integers(0, 25, 3000) ** 2 % 25] + rng.normal(size=(3000, 16))
+    x[1000:2000] = x[0]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(3000, [1.0, 2.0]), (3020, [2.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    nodes = ann.prepared(df, "vec_id", "embedding").groupBy("dim", "vector").agg(F.max("norm").alias("norm"))
+    cells = ann.fit_cells(nodes, 20)
+    assert set(cells) == {16} and cells[16].visited < len(cells[16].centroids) == 14
+    got = defaultdict(list)
+    for r in ann.search(df, F.col("id") % 20 == 0).orderBy("query_id", "rank").collect():
+        assert r["rank"] == len(got[r["query_id"]]) + 1 and r["vec_id"] != r["query_id"]
+        got[r["query_id"]].append(r["vec_id"])
+    assert set(got) == set(range(0, 3021, 20)) and got[3000] == [3020] and got[3020] == [3000]
+    truth = {q: nearest(np.arange(3000), x, q) for q in range(0, 3000, 20)}
+    assert np.mean([len(set(got[q]) & set(v)) / 20 for q, v in truth.items()]) >= 0.95
+    assert all(got[q] == truth[q] for q in range(1000, 2000, 20) if x[q] @ x[q] >= (x @ x[q]).max())
+
+
 def brute_links(texts):
     sets = {}
     for i, t in texts.items():
