@@ -44,8 +44,8 @@ DEVIATIONS = 5.5
 #: A node's classes that are compared at once, and a tile's classes and shingles at most (one class alone may have more).
 NODE_ROWS, TILE_ROWS, TILE_SHINGLES = 2048, 4096, 2_000_000
 #: Rows and columns of a matrix at once.
-BLOCK_ROWS, COLUMNS = 512, 16_384
-KEEP_WORDS = 500_000
+BLOCK_ROWS, COLUMNS = 512, 4_096
+KEEP_WORDS = 150_000
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
