@@ -43,7 +43,12 @@ def base_statistics(values: DataFrame, x: str) -> DataFrame:
     n, found = order_statistics(kept, "__x", lambda n: [at(0.25, n), at(0.75, n)])
     q1, q3 = (found.get(at(p, n)) for p in (0.25, 0.75))
     made = kept.agg(F.count("*").alias("n"), F.avg("__x").alias("mean"), F.stddev_pop("__x").alias("std"), number(q1).alias("q1"), number(q3).alias("q3"))
-    return made.where(F.col("n") >= LEAST_HISTORY).withColumn("iqr", F.col("q3") - F.col("q1")).withColumn("upper", F.col("q3") + IQR_TIMES * F.col("iqr"))
+    return fenced(made)
+
+
+def fenced(statistics: DataFrame) -> DataFrame:
+    """n, mean, std, q1 and q3 with the spread and the upper fence; no row below the least history."""
+    return statistics.where(F.col("n") >= LEAST_HISTORY).withColumn("iqr", F.col("q3") - F.col("q1")).withColumn("upper", F.col("q3") + IQR_TIMES * F.col("iqr"))
 
 
 def _z(x: str):
@@ -51,9 +56,13 @@ def _z(x: str):
 
 
 def amount_signals(candidates: DataFrame, history: DataFrame, x: str = "amount") -> DataFrame:
-    """Candidates beyond the upper fence or the z limit, with severity: a signal for review, never a verdict. The statistics
-    are one row, so joining them is no growth."""
-    scored = candidates.join(F.broadcast(base_statistics(history, x))).withColumn("z", _z(x))
+    """Candidates beyond the upper fence or the z limit of a history, with severity: a signal for review, never a verdict."""
+    return signals_by(candidates, base_statistics(history, x), x)
+
+
+def signals_by(candidates: DataFrame, statistics: DataFrame, x: str = "amount") -> DataFrame:
+    """The same with statistics at hand. They are one row, so joining them is no growth."""
+    scored = candidates.join(F.broadcast(statistics)).withColumn("z", _z(x))
     out = scored.where(((F.col(x) > F.col("upper")) & (F.col("iqr") > 0)) | (F.col("z") >= Z_AMOUNT))
     high = (F.col("z") >= Z_HIGH) | (F.col(x) > F.col("q3") + IQR_HIGH * F.col("iqr"))
     figures = [F.round(c, 2).alias(c) for c in ("mean", "std", "q1", "q3", "iqr", "upper")]

@@ -12,7 +12,7 @@ from ..functions.let import staged
 from ..operators import evaluate, ledger, mutate, review, tokens
 from ..session import spread
 from ..streaming import ingest
-from .slate import QUERIES, slate
+from .slate import ORACLES, QUERIES, slate
 
 # Normalisation
 
@@ -473,16 +473,30 @@ def glyph_deoverlap(lineitem):
     return tokens.deoverlapped(rows).select("field_id", F.array_join(F.transform("kept", lambda b: b["x"].cast("string")), ",").alias("kept"))
 
 
+#: Landed copies have equal hashes. What their events share is told, for which copy comes first is not determined.
+INGESTED = """SELECT sha256(concat_ws('-', user_id, CAST(floor(value) AS BIGINT))) AS image_hash, user_id, CAST(floor(value) AS BIGINT) AS whole_amount, 1::BIGINT AS n
+    FROM events WHERE event_id IS NOT NULL AND event_id % 9 * 2000000 BETWEEN 1 AND 15728640 GROUP BY ALL"""
+
+
 def ingest_stream(spark, sf_dir):
-    """Events as landed files, streamed to their end: gates, copies dropped within the watermark, appended with signals."""
+    """Events as landed files, streamed to their end: gates, copies dropped within the watermark, appended with signals. The SQL
+    tells the rows where all events land within one batch, as in the driver's tables."""
     schema = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
-    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallymill-stream-")
-    folder = f"{folder}/stream-{uuid.uuid4().hex}"
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    landed = raw.select(F.concat(F.col("event_id").cast("string"), F.lit(".tif")).alias("name"), (F.col("event_id") % 9 * 2000000).alias("length"), F.lit(800).alias("width"), F.lit(400).alias("height"), F.sha2(F.concat_ws("-", "user_id", F.floor("value").cast("string")), 256).alias("image_hash"), F.col("ts").alias("created_at"), F.col("value").alias("amount"), "event_id")
-    query = ingest.start(ingest.gated(landed), f"{folder}/documents", f"{folder}/signals", f"{folder}/checkpoint")
+    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    folder = f"{folder or tempfile.mkdtemp(prefix='tallymill-stream-')}/stream-{uuid.uuid4().hex}"
+    # a file or a folder of parts
+    raw = ingest.landing(spark, f"{sf_dir}/events.parquet*", schema)
+    landed = raw.select(
+        F.concat(F.col("event_id").cast("string"), F.lit(".tif")).alias("name"), (F.col("event_id") % 9 * 2000000).alias("length"),
+        F.lit(800).alias("width"), F.lit(400).alias("height"), F.sha2(F.concat_ws("-", "user_id", F.floor("value").cast("string")), 256).alias("image_hash"),
+        F.col("ts").alias("created_at"), F.col("value").alias("amount"), "user_id",
+    )
+    query = ingest.start(ingest.gated(landed), f"{folder}/documents", f"{folder}/signals", f"{folder}/totals", f"{folder}/checkpoint")
     query.awaitTermination()
-    return spark.read.parquet(f"{folder}/documents").select("event_id", "image_hash", "amount")
+    return spark.read.parquet(f"{folder}/documents").groupBy("image_hash", "user_id", F.floor("amount").alias("whole_amount")).agg(F.count("*").alias("n"))
 
 
 QUERIES["ingest_stream"] = ingest_stream
+ORACLES["ingest_stream"] = INGESTED

@@ -168,14 +168,46 @@ def test_scans(spark, tmp_path):
     assert [(r["category"], r["ground_truth"]) for r in told] == [("handwriting", {"a": "1"}), ("document", {"raw_text": "plain"})]
 
 
+LANDED = "name string, length long, width int, height int, image_hash string, created_at timestamp, amount double"
+
+
+def landed_rows(at, amounts, mark):
+    return [(f"{mark}{i}.tif", 1000, 800, 400, f"{mark}{i}", at, a) for i, a in enumerate(amounts)]
+
+
 def test_stream(spark, tmp_path):
     at = datetime.datetime(2026, 1, 1)
-    rows = [(f"{i}.tif", 1000, 800, 400, f"h{i % 15}", at, 1e6 if i == 14 else 100.0 + i) for i in range(30)] + [("x.exe", 1, 800, 400, "bad", at, 1.0)]
-    spark.createDataFrame(rows, "name string, length long, width int, height int, image_hash string, created_at timestamp, amount double").write.parquet(str(tmp_path / "in"))
-    stream = ingest.gated(ingest.landing(spark, str(tmp_path / "in"), "name string, length long, width int, height int, image_hash string, created_at timestamp, amount double"))
-    ingest.start(stream, str(tmp_path / "docs"), str(tmp_path / "signals"), str(tmp_path / "ck")).awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "docs")).count() == 15
-    assert spark.read.parquet(str(tmp_path / "signals")).count() <= 1
+    path = lambda name: str(tmp_path / name)
+
+    def land(rows, history=None):
+        spark.createDataFrame(rows, LANDED).coalesce(1).write.mode("append").parquet(path("in"))
+        stream = ingest.gated(ingest.landing(spark, path("in"), LANDED))
+        ingest.start(stream, path("docs"), path("signals"), path("totals"), path("ck"), history).awaitTermination()
+
+    first = [100.0 + i for i in range(15)]
+    copies = landed_rows(at, first, "a")
+    land(copies + copies[:7] + [("x.exe", 1, 800, 400, "bad", at, 1.0), ("n.tif", 1000, 800, 400, "none", at, None)])
+    assert spark.read.parquet(path("docs")).count() == 16
+    # nothing came before the first batch, so nothing in it stands out
+    assert spark.read.parquet(path("signals")).count() == 0
+    land(landed_rows(at, [1e6, 107.0], "b"))
+    told = spark.read.parquet(path("signals")).collect()
+    assert [(r["name"], r["severity"], r["mean"], r["std"], r["q1"], r["q3"]) for r in told] == [("b0.tif", "HIGH", 107.0, 4.32, 103.0, 111.0)]
+    land(landed_rows(at, [1e5], "c"))
+    last = spark.read.parquet(path("totals")).orderBy(F.desc("batch")).first()
+    values = [*first, 1e6, 107.0, 1e5]
+    mean = sum(values) / len(values)
+    assert last["n"] == len(values) and last["mean"] == pytest.approx(mean)
+    assert last["deviations"] == pytest.approx(sum((v - mean) ** 2 for v in values))
+
+
+def test_stream_with_a_history(spark, tmp_path):
+    at = datetime.datetime(2026, 1, 1)
+    spark.createDataFrame(landed_rows(at, [5e5, 105.0], "a"), LANDED).write.parquet(str(tmp_path / "in"))
+    past = spark.createDataFrame([(100.0 + i,) for i in range(15)], "amount double")
+    stream = ingest.gated(ingest.landing(spark, str(tmp_path / "in"), LANDED))
+    ingest.start(stream, *(str(tmp_path / n) for n in ("docs", "signals", "totals", "ck")), past).awaitTermination()
+    assert [r["name"] for r in spark.read.parquet(str(tmp_path / "signals")).collect()] == ["a0.tif"]
 
 
 def test_schemas(spark):
