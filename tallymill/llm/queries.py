@@ -93,10 +93,60 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
 
+def quality_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op3's operator counts before its bands judge."""
+    return op3_quality_rules(spark, sf_dir).drop("kept")
+
+
+#: Windows are told apart by their words, which hold no blank.
+BASE_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+words AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM (SELECT r, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM d)),
+windows AS (SELECT r, i, word, lead(i, 7) OVER ahead IS NOT NULL AS whole, concat_ws(' ', word, lead(word, 1) OVER ahead, lead(word, 2) OVER ahead,
+    lead(word, 3) OVER ahead, lead(word, 4) OVER ahead, lead(word, 5) OVER ahead, lead(word, 6) OVER ahead, lead(word, 7) OVER ahead) AS said
+  FROM words WINDOW ahead AS (PARTITION BY r ORDER BY i)),
+met AS (SELECT r, i, word, whole AND count(*) FILTER (whole) OVER (PARTITION BY r, said) > 1 AS twice FROM windows),
+covered AS (SELECT r, word, bool_or(twice) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS again FROM met),
+counts AS (SELECT r, count(*) AS n_words, CAST(sum(length(word)) AS BIGINT) AS word_chars, count_if(again) AS n_repeat_words FROM covered GROUP BY r),
+lines AS (SELECT r, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars,
+  length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
+  CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words,
+  coalesce(n_words, 0) < 20 OR 100 * coalesce(n_repeat_words, 0) > 30 * coalesce(n_words, 0) AS base_failed
+FROM d JOIN lines USING (r) LEFT JOIN counts USING (r)"""
+
+
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path and rule of op7's operator, and the verdict where a rule decides."""
+    rows = url_filter.parsed(table(spark, sf_dir, "pages"), RULES, "page_id", "url")
+    return rows.select(F.col("__id").alias("page_id"), "host", "path", F.col("rule.name").alias("rule"), F.col("rule.verdict").alias("verdict"))
+
+
+URL_SQL = r"""
+WITH rest AS (SELECT page_id, CASE WHEN strpos(coalesce(url, ''), '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parts AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
+rules AS (SELECT * FROM (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'),
+    ('net', '/fr/', 'block')) AS v(h, p, verdict)),
+fits AS (SELECT page_id, max_by({'rule': h || p, 'verdict': verdict}, length(h || p)) AS best FROM (SELECT DISTINCT page_id, host, path FROM parts) AS u
+    JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id)
+SELECT page_id, host, path, best.rule AS rule, best.verdict AS verdict FROM parts LEFT JOIN fits USING (page_id)"""
+
+
+def sharding_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every shard plan must leave as it is: the rows and bytes of each size in op1's result."""
+    return op1_sharding(spark, sf_dir).groupBy("size").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.min("doc_id").alias("least_id"))
+
+
+SIZES_SQL = """
+SELECT size, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes, min(doc_id) AS least_id
+FROM (SELECT doc_id, coalesce(strlen(text), 0) + 8 AS size FROM documents) GROUP BY size"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_sharding, op2_byte_bpe, op3_quality_rules, op4_token_counts, op5_nearest_neighbours, op6_chat_formatting, op7_url_filter, op8_near_join, op9_packing, op10_toxicity)
+    found = (op1_sharding, op2_byte_bpe, op3_quality_rules, op4_token_counts, op5_nearest_neighbours, op6_chat_formatting, op7_url_filter, op8_near_join, op9_packing, op10_toxicity, quality_base_counts, url_rules, sharding_totals)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_chat_formatting": OP6_SQL}
+    return {"op6_chat_formatting": OP6_SQL, "quality_base_counts": BASE_SQL, "url_rules": URL_SQL, "sharding_totals": SIZES_SQL}

@@ -97,14 +97,40 @@ def _sized(df):
     return df.select((F.octet_length("text") + 8).cast("long").alias("size"), F.xxhash64("text").alias("hash"))
 
 
-def test_chat_matches_sql(spark, sf_dir):
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_matches_sql(spark, sf_dir, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{sf_dir}/conversations.parquet'")
-    df = queries.op6_chat_formatting(spark, sf_dir)
-    told = con.execute(queries.OP6_SQL)
+    for t in ("conversations", "documents", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    df = queries.queries()[name](spark, sf_dir)
+    told = con.execute(queries.oracle_sql()[name])
     names = [d[0] for d in told.description]
     assert sorted(names) == sorted(df.columns)
-    assert sorted(tuple(r[c] for c in names) for r in df.collect()) == sorted(told.fetchall())
+    assert sorted((tuple(r[c] for c in names) for r in df.collect()), key=repr) == sorted(told.fetchall(), key=repr)
+
+
+ODD_TEXTS = [None, "", " \t\n", "a b c d e f g h " * 3, "one\n\none\n one\none", "\u00a0x\u3000y #*$%&|<>", "w\x0bv\x1fu\x1cz", "é" * 30 + "\n" + "é" * 30]
+
+
+def test_base_counts_of_odd_texts_match_sql(spark, tmp_path):
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(ODD_TEXTS + ODD_TEXTS)], "doc_id long, text string, lang string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    told = con.execute(queries.BASE_SQL)
+    names = [d[0] for d in told.description]
+    assert sorted(tuple(r[c] for c in names) for r in queries.quality_base_counts(spark, str(tmp_path)).collect()) == sorted(told.fetchall())
+
+
+def test_rules_of_odd_urls_match_sql(spark, tmp_path):
+    urls = [None, "", "com/", "http://A.COM", "https://www.Example.com/en/x?y", "x://example.com/en/#/", "http://notexample.com/en/", "http://b.net/fr/?q", "http://net/es/", "a://b://com/", "http://É.com/", "http://x.com?/", "http://example.com/EN/"]
+    spark.createDataFrame(list(enumerate(urls + urls)), "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    told = con.execute(queries.URL_SQL)
+    names = [d[0] for d in told.description]
+    key = lambda r: tuple(map(repr, r))
+    assert sorted((tuple(r[c] for c in names) for r in queries.url_rules(spark, str(tmp_path)).collect()), key=key) == sorted(told.fetchall(), key=key)
 
 
 def test_chat_folds_events(spark):
