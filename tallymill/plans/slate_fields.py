@@ -467,7 +467,8 @@ def glyph_rollup(events):
     return tokens.glyph_rollup(events.select(F.col("user_id").alias("field_id"), F.col("event_id").alias("x"), F.substr("event_type", F.lit(1), F.lit(1)).alias("label"), F.col("value").alias("conf")))
 
 
-@slate()
+@slate("""SELECT field_id, array_to_string(list_reduce(list([x] ORDER BY x), lambda kept, b: CASE WHEN b[1] > kept[-1] + 3 THEN kept || b ELSE kept END), ',') AS kept
+    FROM (SELECT l_orderkey AS field_id, CAST(l_partkey % 60 AS INT) AS x FROM lineitem) GROUP BY field_id""")
 def glyph_deoverlap(lineitem):
     rows = lineitem.select(F.col("l_orderkey").alias("field_id"), (F.col("l_partkey") % 60).cast("int").alias("x"), F.lit(5).alias("w"))
     return tokens.deoverlapped(rows).select("field_id", F.array_join(F.transform("kept", lambda b: b["x"].cast("string")), ",").alias("kept"))
