@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, fertility, near_join, packing, sharding, token_counts, toxicity, url_filter
+from . import ann, bisectors, bpe, chat, dual_tree, fertility, near_join, packing, sharding, token_counts, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -93,6 +93,50 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bisectors.cluster(table(spark, sf_dir, "embeddings"), k=40, rounds=5)
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dual_tree.search(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), k=10)
+
+
+def clustering_sql(k: int = 40, rounds: int = 5) -> str:
+    """Vectors and centroids as a row a component; the nearest centroid is the least of distance * k + number."""
+    steps = [
+        """WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0)""",
+        "x AS MATERIALIZED (SELECT r, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM v)",
+        f"first AS (SELECT row_number() OVER (ORDER BY sha256('2:' || coalesce(vec_id::VARCHAR, '')), e) - 1 AS k, e FROM v QUALIFY k < {k})",
+        "c0 AS MATERIALIZED (SELECT k, unnest(e) AS y, generate_subscripts(e, 1) AS i FROM first)",
+    ]
+    for n in range(rounds + 1):
+        steps.append(f"a{n} AS MATERIALIZED (SELECT r, min(d * {k} + k) AS best FROM (SELECT r, k, sum((x - y) * (x - y)) AS d FROM x JOIN c{n} USING (i) GROUP BY r, k) GROUP BY r)")
+        if n < rounds:
+            steps.append(f"m{n} AS (SELECT best % {k} AS k, i, sum(x) AS s, count(*) AS n FROM a{n} JOIN x USING (r) GROUP BY ALL)")
+            steps.append(f"c{n + 1} AS MATERIALIZED (SELECT k, i, coalesce((s - ((s % n) + n) % n) // n, y) AS y FROM c{n} LEFT JOIN m{n} USING (k, i))")
+    return ",\n".join(steps) + f"""
+SELECT vec_id, CAST(k AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia,
+  CAST(sum(d) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM (SELECT vec_id, best % {k} AS k, best // {k} AS d FROM a{rounds} JOIN v USING (r))
+JOIN (SELECT k, sha256(string_agg(y::BIGINT::VARCHAR, ',' ORDER BY i)) AS centroid_sha256 FROM c{rounds} GROUP BY k) USING (k)"""
+
+
+RANKED_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+told AS MATERIALIZED (SELECT r, doc_id, t, len(t) AS n FROM d WHERE len(t) > 0),
+sizes AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS total FROM told),
+items AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+tf AS MATERIALIZED (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(t) AS term FROM told) SEMI JOIN items USING (term) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), sizes),
+parts AS (SELECT r, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // total))) AS s FROM tf JOIN w USING (term) JOIN told USING (r), sizes),
+scores AS (SELECT item_id, r, CAST(sum(s) AS BIGINT) AS score FROM items JOIN parts USING (term) GROUP BY ALL HAVING sum(s) > 0)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scores JOIN told USING (r) QUALIFY rank <= 10"""
+
+
 def quality_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What op3's operator counts before its bands judge."""
     return op3_quality_rules(spark, sf_dir).drop("kept")
@@ -144,9 +188,9 @@ FROM (SELECT doc_id, coalesce(strlen(text), 0) + 8 AS size FROM documents) GROUP
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_sharding, op2_byte_bpe, op3_quality_rules, op4_token_counts, op5_nearest_neighbours, op6_chat_formatting, op7_url_filter, op8_near_join, op9_packing, op10_toxicity, quality_base_counts, url_rules, sharding_totals)
+    found = (op1_sharding, op2_byte_bpe, op3_quality_rules, op4_token_counts, op5_nearest_neighbours, op6_chat_formatting, op7_url_filter, op8_near_join, op9_packing, op10_toxicity, op11_centroid_clustering, op12_ranked_search, quality_base_counts, url_rules, sharding_totals)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_chat_formatting": OP6_SQL, "quality_base_counts": BASE_SQL, "url_rules": URL_SQL, "sharding_totals": SIZES_SQL}
+    return {"op6_chat_formatting": OP6_SQL, "quality_base_counts": BASE_SQL, "url_rules": URL_SQL, "sharding_totals": SIZES_SQL, "op11_centroid_clustering": clustering_sql(), "op12_ranked_search": RANKED_SQL}
