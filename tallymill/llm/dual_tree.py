@@ -98,21 +98,20 @@ class Rows:
     def of(self, r: int) -> tuple[np.ndarray, np.ndarray]:
         return self.terms[self.ends[r] : self.ends[r + 1]], self.values[self.ends[r] : self.ends[r + 1]]
 
-    def dense(self, r: int) -> np.ndarray:
-        row = np.zeros(self.width, np.float32)
-        terms, values = self.of(r)
-        row[terms] = values
-        return row / max(float(np.sqrt((row**2).sum())), 1e-9)
-
-    def against(self, rows: np.ndarray, direction: np.ndarray) -> np.ndarray:
-        """Products of some rows with a dense one, by the rows' lengths."""
+    def spread(self, rows: np.ndarray, seed: int, rounds: int = 3) -> np.ndarray:
+        """A number for each of some rows, near to each other for rows that share terms: power iteration from random ones towards
+        the direction in which rows of equal length differ most."""
         sizes = self.ends[rows + 1] - self.ends[rows]
-        starts = np.cumsum(sizes) - sizes
-        at = np.repeat(self.ends[rows] - starts, sizes) + np.arange(sizes.sum())
-        values = self.values[at].astype(np.float32)
-        owner = np.repeat(np.arange(len(rows)), sizes)
+        at = np.repeat(self.ends[rows] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        owner, terms, values = np.repeat(np.arange(len(rows)), sizes), self.terms[at], self.values[at].astype(float)
         sums = lambda v: np.bincount(owner, weights=v, minlength=len(rows))
-        return sums(values * direction[self.terms[at]]) / np.maximum(np.sqrt(sums(values * values)), 1e-9)
+        values /= np.maximum(np.sqrt(sums(values * values)), 1e-9)[owner]
+        s = np.random.default_rng(seed).normal(size=len(rows))
+        for _ in range(rounds):
+            s = sums(values * np.bincount(terms, weights=values * s[owner], minlength=self.width)[terms])
+            s = s - s.mean()
+            s = s / max(float(np.abs(s).max(initial=0)), 1e-9)
+        return s
 
 
 class Tree:
@@ -127,11 +126,7 @@ class Tree:
             cuts = [0]
             for lo, hi in zip(self.cuts[:-1].tolist(), self.cuts[1:].tolist()):
                 own = self.order[lo:hi]
-                if len(own) > 2:
-                    far = own[rows.against(own, rows.dense(own[0])).argmin()]
-                    one = rows.dense(far)
-                    other = rows.dense(own[rows.against(own, one).argmin()])
-                    self.order[lo:hi] = own[np.argsort(rows.against(own, one - other), kind="stable")]
+                self.order[lo:hi] = own[np.argsort(rows.spread(own, lo), kind="stable")]
                 cuts += [(lo + hi) // 2, hi]
             self.cuts = np.array(cuts)
         sizes = np.diff(rows.ends)[self.order]

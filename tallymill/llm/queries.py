@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bisectors, bpe, chat, dual_tree, fertility, near_join, packing, sharding, token_counts, toxicity, url_filter
+from . import ann, bisectors, bpe, chat, dual_tree, fertility, flat_graph, near_join, packing, sharding, token_counts, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -101,6 +101,10 @@ def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dual_tree.search(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), k=10)
 
 
+def op13_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flat_graph.join(table(spark, sf_dir, "embeddings"))
+
+
 def clustering_sql(k: int = 40, rounds: int = 5) -> str:
     """Vectors and centroids as a row a component; the nearest centroid is the least of distance * k + number."""
     steps = [
@@ -137,6 +141,19 @@ SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC
 FROM scores JOIN told USING (r) QUALIFY rank <= 10"""
 
 
+NEAR_SQL = """
+WITH RECURSIVE v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS MATERIALIZED (SELECT a.r AS a, b.r AS b FROM v AS a JOIN v AS b ON a.label = b.label AND len(a.e) = len(b.e) AND a.r <> b.r
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+reach AS (SELECT r AS a, r AS b FROM v UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+named AS (SELECT a AS r, min(vec_id) AS component_id FROM reach JOIN v ON v.r = reach.b GROUP BY a),
+degrees AS (SELECT a AS r, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(component_id, vec_id) AS component_id, vec_id = coalesce(component_id, vec_id) AS kept
+FROM (SELECT row_number() OVER () AS at, * FROM embeddings) LEFT JOIN (SELECT r, vec_id, n, component_id FROM v JOIN named USING (r) LEFT JOIN degrees USING (r)) AS t USING (vec_id)"""
+
+
 def quality_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What op3's operator counts before its bands judge."""
     return op3_quality_rules(spark, sf_dir).drop("kept")
@@ -188,9 +205,9 @@ FROM (SELECT doc_id, coalesce(strlen(text), 0) + 8 AS size FROM documents) GROUP
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_sharding, op2_byte_bpe, op3_quality_rules, op4_token_counts, op5_nearest_neighbours, op6_chat_formatting, op7_url_filter, op8_near_join, op9_packing, op10_toxicity, op11_centroid_clustering, op12_ranked_search, quality_base_counts, url_rules, sharding_totals)
+    found = (op1_sharding, op2_byte_bpe, op3_quality_rules, op4_token_counts, op5_nearest_neighbours, op6_chat_formatting, op7_url_filter, op8_near_join, op9_packing, op10_toxicity, op11_centroid_clustering, op12_ranked_search, op13_embedding_near_dedup, quality_base_counts, url_rules, sharding_totals)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_chat_formatting": OP6_SQL, "quality_base_counts": BASE_SQL, "url_rules": URL_SQL, "sharding_totals": SIZES_SQL, "op11_centroid_clustering": clustering_sql(), "op12_ranked_search": RANKED_SQL}
+    return {"op6_chat_formatting": OP6_SQL, "quality_base_counts": BASE_SQL, "url_rules": URL_SQL, "sharding_totals": SIZES_SQL, "op11_centroid_clustering": clustering_sql(), "op12_ranked_search": RANKED_SQL, "op13_embedding_near_dedup": NEAR_SQL}
