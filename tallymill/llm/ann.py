@@ -6,12 +6,13 @@ vectors are dealt on by hash, so every shard is of bounded size. A shard's graph
 neighbour arrays in one row of the index table, which is written out; every row of the input is indexed, equal vectors as one
 node that carries the smallest ids that any query could need. Equal queries are searched once, in the cells nearest to them
 alone: as many as hold ROUTED of the true neighbours within the sample, whose neighbours lie further apart than those in the
-whole table. A shard's candidates are scored in double precision on the original vectors, and the best of all shards are
-kept, ties to the smaller id.
+whole table. When a shard is built, a few vectors of its own and a few of the sample, which may lie outside, are searched exactly
+too, and the beam is widened until the graph finds FOUND of their neighbours; the width is stored with the shard. A shard's
+candidates are scored in double precision on the original vectors, and the best of all shards are kept, ties to the smaller id.
 
 Vectors that are null, zero, empty, or hold null or non-finite components take no part, as rows and as queries, nor do rows
 without an id. Ids become longs. Queries see vectors of their own dimension. Repeated rows count as one neighbour; an id with
-several vectors is a candidate with each, and searched by the least (it then finds at least k less the rows that it has). An
+several vectors is a candidate with each, and searched by the least, past all of its own. Vectors may be of any length. An
 empty table gives an empty table; other columns are ignored.
 """
 
@@ -34,6 +35,8 @@ LEAST_CELLS, MOST_CELLS, FEW = 6, 4096, 600
 #: Centroids are fitted on about twice so many vectors, of no more than so many bytes; the cells that a query visits are to hold
 #: this share of its neighbours.
 SAMPLE, SAMPLE_BYTES, ROUTED = 10_000, 32 << 20, 0.98
+#: Share of the neighbours of PROBES vectors that a shard's graph must find.
+FOUND, PROBES = 0.97, 24
 #: Sampled vectors compared with all others at once.
 AT_ONCE = 64
 
@@ -165,6 +168,19 @@ class Graph:
         return g
 
 
+def calibrated(graph: Graph, vectors: np.ndarray, probes: np.ndarray, k: int, width: int = SEARCH_WIDTH) -> int:
+    """The width at which a search finds FOUND of the k nearest of the probes; the whole graph at the most."""
+    k = min(k, len(vectors))
+    exact = [set(np.argpartition(-(vectors @ p), k - 1)[:k].tolist()) for p in probes]
+    units = directions(probes)
+    while width < len(vectors):
+        held = sum(len(set(sorted(graph.nearest(u, width), key=lambda j: -float(vectors[j] @ p))[:k]) & e) for u, p, e in zip(units, probes, exact))
+        if held >= FOUND * k * len(probes):
+            break
+        width *= 2
+    return min(width, max(len(vectors), k))
+
+
 def equal_length(x: np.ndarray, most: float | None = None) -> np.ndarray:
     """Unit vectors whose inner products with (q, 0) order as those of x with q; ``most`` is the largest squared length."""
     norms = (x**2).sum(axis=1)
@@ -184,13 +200,13 @@ def stacked(vectors: list[bytes]) -> np.ndarray:
 class Cells:
     """Centroids of one dimension, and how many cells a query visits."""
 
-    def __init__(self, centroids: np.ndarray, most: float, visited: int):
-        self.centroids, self.most, self.visited = centroids, most, visited
+    def __init__(self, centroids: np.ndarray, most: float, visited: int, probes: np.ndarray):
+        self.centroids, self.most, self.visited, self.probes = centroids, most, visited, probes
 
     @classmethod
     def fit(cls, x: np.ndarray, cells: int, most: float, k: int, rounds: int = 8) -> Cells:
         unit = equal_length(x, most)
-        made = cls(unit[:cells].copy(), most, cells)
+        made = cls(unit[:cells].copy(), most, cells, x[:PROBES].copy())
         for _ in range(rounds):
             at = made.of(unit)
             sums, counts = np.zeros_like(made.centroids), np.bincount(at, minlength=cells)
@@ -284,7 +300,7 @@ def placed(nodes: DataFrame, cells: dict[int, Cells]) -> DataFrame:
 
 
 def routed(queries: DataFrame, cells: dict[int, Cells]) -> DataFrame:
-    """(query, vector, place): a row for each cell that a query visits."""
+    """(query, several, vector, place): a row for each cell that a query visits."""
 
     def make():
         def part(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -294,26 +310,30 @@ def routed(queries: DataFrame, cells: dict[int, Cells]) -> DataFrame:
                 rows.append(np.repeat(at, visits.shape[1]))
                 places += [f"{dim}/{i}" for i in visits.ravel().tolist()]
             at = pa.array(np.concatenate([np.zeros(0, np.int64), *rows]).astype(np.int64))
-            return pa.record_batch([b.column("query").take(at), b.column("vector").take(at), pa.array(places, pa.string())], ["query", "vector", "place"])
+            return pa.record_batch([*(b.column(c).take(at) for c in ("query", "several", "vector")), pa.array(places, pa.string())], ["query", "several", "vector", "place"])
 
         return part
 
-    return map_parts(queries.select("query", "dim", "vector"), make, "query long, vector binary, place string", 512)
+    return map_parts(queries.select("query", F.col("not_id").isNotNull().alias("several"), "dim", "vector"), make, "query long, several boolean, vector binary, place string", 512)
 
 
-def index(nodes: DataFrame) -> DataFrame:
-    """One row a shard: its vectors, the flat graph, and the ids of each node."""
+def index(nodes: DataFrame, cells: dict[int, Cells], k: int) -> DataFrame:
+    """One row a shard: its vectors, the flat graph, the width of a search, and the ids of each node."""
+    outside = {dim: c.probes for dim, c in cells.items()}
 
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.assign(least=[x[0] for x in pdf["ids"]]).sort_values("least", kind="stable")
         vectors = stacked(list(pdf["vector"]))
-        level0, upper, lists, entry = Graph.build(equal_length(vectors)).flat()
+        graph = Graph.build(equal_length(vectors))
+        level0, upper, lists, entry = graph.flat()
+        probes = [vectors[:: max(1, len(vectors) // PROBES)][:PROBES], *[p for p in [outside.get(vectors.shape[1])] if p is not None]]
+        width = calibrated(graph, vectors, np.concatenate(probes), k)
         ids = [np.asarray(x, np.int64) for x in pdf["ids"]]
         sizes = np.array([len(x) for x in ids], np.int32).tobytes()
-        return pd.DataFrame({"place": [key[0]], "sub": [key[1]], "vectors": [vectors.tobytes()], "level0": [level0], "upper": [upper], "lists": [lists], "entry": [entry], "ids": [np.concatenate(ids).tobytes()], "sizes": [sizes]})
+        return pd.DataFrame({"place": [key[0]], "sub": [key[1]], "vectors": [vectors.tobytes()], "level0": [level0], "upper": [upper], "lists": [lists], "entry": [entry], "width": [width], "ids": [np.concatenate(ids).tobytes()], "sizes": [sizes]})
 
     dealt = nodes.withColumn("sub", F.pmod(F.xxhash64("vector"), "subs").cast("int")).select("place", "sub", "vector", "ids").repartition("place", "sub")
-    return dealt.groupBy("place", "sub").applyInPandas(one, "place string, sub int, vectors binary, level0 binary, upper binary, lists binary, entry int, ids binary, sizes binary")
+    return dealt.groupBy("place", "sub").applyInPandas(one, "place string, sub int, vectors binary, level0 binary, upper binary, lists binary, entry int, width int, ids binary, sizes binary")
 
 
 def search(table: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", width: int = SEARCH_WIDTH) -> DataFrame:
@@ -324,9 +344,10 @@ def search(table: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_i
     cells = fit_cells(nodes, k)
     there = placed(nodes, cells)
 
-    # equal queries are one, named by the least id
-    members = rows.where(is_query).groupBy("id").agg(F.min(F.struct("dim", "vector")).alias("v")).select("id", "v.dim", "v.vector")
-    queries = settle(members.groupBy("dim", "vector").agg(F.min("id").alias("query")))
+    # equal queries are one, named by the least id; an id with several vectors is a query of its own that passes all of them
+    asking = rows.where(is_query).groupBy("id").agg(F.min(F.struct("dim", "vector")).alias("v"), F.max(F.struct("dim", "vector")).alias("w"))
+    members = settle(asking.select("id", "v.dim", "v.vector", F.when(F.col("v") != F.col("w"), F.col("id")).alias("not_id")))
+    queries = settle(members.groupBy("dim", "vector", "not_id").agg(F.min("id").alias("query")))
     visits = routed(queries, cells)
 
     # one row a cell: its shards, and the blocks in which queries come to it
@@ -334,9 +355,9 @@ def search(table: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_i
     blocks = visits.groupBy("place").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("blocks"))
     places = settle(shards.join(blocks, "place", "left"))
 
-    built = settle(index(look_up(there, "place", "vector", places)))
+    built = settle(index(look_up(there, "place", "vector", places), cells, k))
     asked = look_up(visits, "place", "query", places).where("subs is not null").withColumn("block", F.pmod(F.xxhash64("query"), "blocks").cast("int"))
-    asked = asked.select("query", "vector", "place", "block", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("sub"))
+    asked = asked.select("query", "several", "vector", "place", "block", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("sub"))
     held = built.join(places.where("blocks is not null").select("place", "blocks"), "place").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
 
     def one(key: tuple, shard: pd.DataFrame, qs: pd.DataFrame) -> pd.DataFrame:
@@ -349,10 +370,15 @@ def search(table: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_i
             ends = np.cumsum(sizes)
             ids = np.frombuffer(s["ids"], np.int64)
             x = stacked(list(qs["vector"]))
-            for q, v, unit in zip(qs["query"], x, directions(x)):
-                at = graph.nearest(unit, max(width, k + 1))
-                scores = vectors[at] @ v
-                found = sorted((-sc, int(i)) for sc, node in zip(scores.tolist(), at) for i in ids[ends[node] - sizes[node] : ends[node]])
+            for q, several, v, unit in zip(qs["query"], qs["several"], x, directions(x)):
+                wide = max(width, int(s["width"]), k + 1)
+                while True:
+                    at = graph.nearest(unit, wide)
+                    scores = vectors[at] @ v
+                    found = sorted((-sc, int(i)) for sc, node in zip(scores.tolist(), at) for i in ids[ends[node] - sizes[node] : ends[node]] if not several or i != q)
+                    if not several or len(found) >= k or wide >= len(vectors):
+                        break
+                    wide *= 2
                 out += [(int(q), i, -sc) for sc, i in found[: k + 1]]
         return pd.DataFrame(out, columns=["query", "id", "score"]).astype({"query": "int64", "id": "int64", "score": "float64"})
 
@@ -360,6 +386,8 @@ def search(table: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_i
     found = held.groupBy(*by).cogroup(asked.groupBy(*by)).applyInPandas(one, "query long, id long, score double")
     best = found.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k + 1)
     near = best.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("rank", "id", "score"))).alias("near"))
-    told = look_up(members.select("id", "vector"), "vector", "id", queries.join(near, "query").select("vector", "near"))
+    single, several = F.col("not_id").isNull(), F.col("not_id").isNotNull()
+    told = look_up(members.where(single).select("id", "vector"), "vector", "id", queries.where(single).join(near, "query").select("vector", "near"))
+    told = told.unionByName(members.where(several).select("id", "vector").join(near.withColumnRenamed("query", "id"), "id", "left"))
     others = F.slice(F.filter("near", lambda x: x["id"] != F.col("id")), 1, k)
     return told.select(F.col("id").alias("query_id"), F.posexplode(others)).select("query_id", (F.col("pos") + 1).alias("rank"), F.col("col.id").alias(id_col), F.col("col.score").alias("score"))

@@ -10,8 +10,9 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tallymill.llm import bisectors, dual_tree, flat_graph, queries
+from tallymill.llm import ann, bisectors, dual_tree, flat_graph, queries
 
 
 @pytest.mark.parametrize("name", ["op11_centroid_clustering", "op12_ranked_search", "op13_embedding_near_dedup"])
@@ -192,3 +193,25 @@ def test_flat_graph_finds_what_is_within_reach():
     found = {(a, b) for a, b in zip(q.tolist(), node.tolist()) if a != b}
     true = {(a, b) for a, b in zip(*map(np.ndarray.tolist, np.nonzero(x @ x.T >= 0.93))) if a != b}
     assert len(true) > 300 and len(found & true) >= 0.99 * len(true)
+
+
+def test_an_id_with_many_vectors_finds_its_neighbours(spark):
+    """All of an id's own vectors are nearer than anything else."""
+    rng = np.random.default_rng(9)
+    rows = [(0, (np.ones(8) * 5 + rng.normal(size=8) * 0.1).tolist()) for _ in range(90)] + [(i, (np.ones(8) + rng.normal(size=8)).tolist()) for i in range(1, 200)]
+    got = [(r["rank"], r["vec_id"]) for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") == 0).orderBy("rank").collect()]
+    least = np.array(min(v for i, v in rows if i == 0))
+    want = sorted((-float(np.array(v) @ least), i) for i, v in rows if i)[:20]
+    assert [r for r, _ in got] == list(range(1, 21)) and len({i for _, i in got} & {i for _, i in want}) >= 19
+
+
+@pytest.mark.parametrize("n", [3000, *([20_000] if os.environ.get("TALLYMILL_SLOW") else [])])
+def test_calibrated_width_holds_recall(n):
+    """A shard of vectors without clusters, searched by vectors from outside; at 20,000, the full size, if TALLYMILL_SLOW is set."""
+    rng = np.random.default_rng(10)
+    x, q = rng.normal(size=(n, 64)), rng.normal(size=(100, 64))
+    g = ann.Graph.build(ann.equal_length(x))
+    width = ann.calibrated(g, x, np.concatenate((x[: ann.PROBES], rng.normal(size=(ann.PROBES, 64)))), 20)
+    found = [sorted(g.nearest(u, width), key=lambda j: -float(x[j] @ v))[:20] for u, v in zip(ann.directions(q), q)]
+    true = np.argsort(-(q @ x.T), axis=1)[:, :20]
+    assert np.mean([len(set(f) & set(t.tolist())) / 20 for f, t in zip(found, true)]) >= 0.93
