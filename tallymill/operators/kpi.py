@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.money import amount_of, is_plain_number, percent
-from .quantiles import interpolated, nearest_ranks, number
+from .quantiles import between, interpolated, nearest, with_order_statistics
 
 #: Edges of the confidence histogram.
 EDGES = (0.50, 0.70, 0.85, 0.95)
@@ -33,26 +33,44 @@ def by_status(df: DataFrame, status: str = "status") -> DataFrame:
     return counted.withColumn("share", percent(F.col("n"), F.sum("n").over(Window.partitionBy()))).orderBy(F.desc("n"), status)
 
 
-def review_stats(df: DataFrame, flag: str = "review_required", confidence: str = "overall_confidence") -> DataFrame:
+def _review_figures(flag: str = "review_required", confidence: str = "overall_confidence") -> dict[str, Column]:
     n, flagged = F.count("*"), F.count_if(F.col(flag))
-    return df.agg(n.alias("total"), flagged.alias("flagged"), (n - flagged).alias("auto_cleared"), percent(flagged, n).alias("review_rate"), F.round(F.coalesce(F.avg(confidence), F.lit(0.0)), 4).alias("mean_confidence"))
+    mean = F.round(F.coalesce(F.avg(confidence), F.lit(0.0)), 4)
+    return {"total": n, "flagged": flagged, "auto_cleared": n - flagged, "review_rate": percent(flagged, n), "mean_confidence": mean}
 
 
-def volume(df: DataFrame, status: str = "status") -> DataFrame:
+def review_stats(df: DataFrame, flag: str = "review_required", confidence: str = "overall_confidence") -> DataFrame:
+    return df.agg(*[c.alias(k) for k, c in _review_figures(flag, confidence).items()])
+
+
+def _volume_figures(status: str = "status") -> dict[str, Column]:
     count = lambda s: F.count_if(F.col(status) == s)
-    return df.agg(F.count("*").alias("total"), count("VERIFIED").alias("verified"), count("REVIEW_REQUIRED").alias("review_required"), count("INVALID").alias("invalid"), count("PROCESSED").alias("processed"))
+    return {"total": F.count("*"), **{s.lower(): count(s) for s in ("VERIFIED", "REVIEW_REQUIRED", "INVALID", "PROCESSED")}}
+
+
+def volume(df: DataFrame, status: str = "status") -> DataFrame:
+    return df.agg(*[c.alias(k) for k, c in _volume_figures(status).items()])
+
+
+def _zero(c: Column) -> Column:
+    return F.round(F.coalesce(c, F.lit(0.0)), 2)
+
+
+def _amount_figures(x: Column) -> dict[str, Column]:
+    of = {"sum": F.sum, "mean": F.avg, "min": F.min, "max": F.max, "std": F.stddev_pop}
+    return {"n": F.count(x), **{k: _zero(f(x)) for k, f in of.items()}}
+
+
+def _median(column: str) -> Column:
+    """Of a column whose ranks are those of between(0.5)."""
+    return interpolated(0.5, F.col(f"n_{column}"), F.col(f"{column}_0"), F.col(f"{column}_1"))
 
 
 def amount_stats(df: DataFrame, text: str) -> DataFrame:
     """Of amounts as text, cleaned; what cannot be read is left out."""
     x = F.col("__x")
-    zero = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 2)
-    amounts = df.select(amount_of(F.col(text)).alias("__x"))
-    (median,) = interpolated(amounts, "__x", (0.5,))
-    return amounts.agg(
-        F.count(x).alias("n"), zero(F.sum(x)).alias("sum"), zero(F.avg(x)).alias("mean"), zero(number(median)).alias("median"),
-        zero(F.min(x)).alias("min"), zero(F.max(x)).alias("max"), zero(F.stddev_pop(x)).alias("std"),
-    )
+    made = with_order_statistics(df.select(amount_of(F.col(text)).alias("__x")), {"x": x}, {"x": between(0.5)}, _amount_figures(x))
+    return made.select("n", "sum", "mean", _zero(_median("x")).alias("median"), "min", "max", "std")
 
 
 def amount_stats_strict(df: DataFrame, text: str) -> DataFrame:
@@ -62,12 +80,16 @@ def amount_stats_strict(df: DataFrame, text: str) -> DataFrame:
     return df.where(is_plain_number(F.col(text))).agg(F.count("*").alias("n"), zero(F.sum(x)).alias("sum"), zero(F.avg(x)).alias("mean"), zero(F.min(x)).alias("min"), zero(F.max(x)).alias("max"))
 
 
+def _histogram_figures(x: Column, edges: tuple[float, ...]) -> dict[str, Column]:
+    bounds = [float("-inf"), *edges, float("inf")]
+    buckets = {f"bucket_{i}": F.count_if((x >= lo) & (x < hi)) for i, (lo, hi) in enumerate(zip(bounds[:-1], bounds[1:]))}
+    return {"n": F.count(x), "mean": F.round(F.avg(x), 4), "std": F.round(F.stddev_pop(x), 4), **buckets}
+
+
 def confidence_histogram(df: DataFrame, confidence: str, edges: tuple[float, ...] = EDGES) -> DataFrame:
     """Counts between fixed edges (a bucket without rows is 0), median and population deviation."""
-    x, bounds = F.col(confidence), [float("-inf"), *edges, float("inf")]
-    buckets = [F.count_if((x >= lo) & (x < hi)).alias(f"bucket_{i}") for i, (lo, hi) in enumerate(zip(bounds[:-1], bounds[1:]))]
-    (median,) = interpolated(df, confidence, (0.5,))
-    return df.agg(F.count(x).alias("n"), F.round(F.avg(x), 4).alias("mean"), F.round(number(median), 4).alias("median"), F.round(F.stddev_pop(x), 4).alias("std"), *buckets)
+    made = with_order_statistics(df, {"x": F.col(confidence)}, {"x": between(0.5)}, _histogram_figures(F.col(confidence), edges))
+    return made.select("n", "mean", F.round(_median("x"), 4).alias("median"), "std", *[f"bucket_{i}" for i in range(len(edges) + 1)])
 
 
 def field_performance(fields: DataFrame) -> DataFrame:
@@ -94,9 +116,14 @@ def top_reasons(checks: DataFrame, n: int = 10) -> DataFrame:
 
 def latency_stats(runs: DataFrame, latency: str = "total_latency_ms") -> DataFrame:
     x, shares = F.col(latency), (0.5, 0.9, 0.99)
-    runs = runs.where(x.isNotNull())
-    ranks = [F.round(number(v), 2).alias(f"p{round(100 * p)}") for p, v in zip(shares, nearest_ranks(runs, latency, shares))]
-    return runs.agg(F.count("*").alias("n"), F.round(F.avg(x), 2).alias("mean"), F.round(F.min(x), 2).alias("min"), F.round(F.max(x), 2).alias("max"), *ranks)
+    figures = {"n": F.count(x), **{k: F.round(f(x), 2) for k, f in {"mean": F.avg, "min": F.min, "max": F.max}.items()}}
+    made = with_order_statistics(runs, {"x": x}, {"x": [r for p in shares for r in nearest(p)]}, figures)
+    return made.select("n", "mean", "min", "max", *[F.round(f"x_{i}", 2).alias(f"p{round(100 * p)}") for i, p in enumerate(shares)])
+
+
+def _percentiles(shares: tuple[float, ...]) -> list[Column]:
+    """Of a column x whose ranks are those of between for each share, in turn."""
+    return [interpolated(p, F.col("n_x"), F.col(f"x_{2 * i}"), F.col(f"x_{2 * i + 1}")) for i, p in enumerate(shares)]
 
 
 def latency_interpolated(runs: DataFrame, latency: str = "total_latency_ms", approximate: bool = False) -> DataFrame:
@@ -104,17 +131,18 @@ def latency_interpolated(runs: DataFrame, latency: str = "total_latency_ms", app
     shares = (0.5, 0.9, 0.95, 0.99)
     if approximate:
         return runs.agg(*[F.round(F.percentile_approx(latency, p, 10_000), 2).alias(f"p{round(100 * p)}") for p in shares])
-    exact = zip(shares, interpolated(runs, latency, shares))
-    return runs.sparkSession.range(1).select(*[F.round(number(v), 2).alias(f"p{round(100 * p)}") for p, v in exact])
+    made = with_order_statistics(runs, {"x": F.col(latency)}, {"x": [r for p in shares for r in between(p)]})
+    return made.select(*[F.round(v, 2).alias(f"p{round(100 * p)}") for p, v in zip(shares, _percentiles(shares))])
 
 
 def stage_latency(runs: DataFrame, stages: dict[str, Column], latency: str = "total_latency_ms", failed: Column | None = None) -> DataFrame:
     """Mean, median and interpolated p95 of the whole, means of the stages, rate of failures."""
-    x = F.col(latency)
-    rate = percent(F.count_if(failed), F.count("*")) if failed is not None else F.lit(0.0)
-    median, p95 = interpolated(runs, latency, (0.5, 0.95))
-    whole = [F.round(F.avg(x), 2).alias("mean"), F.round(number(median), 2).alias("median"), F.round(number(p95), 2).alias("p95")]
-    return runs.agg(*whole, *[F.round(F.avg(c), 2).alias(f"mean_{k}") for k, c in stages.items()], rate.alias("failure_rate"))
+    x, shares = F.col(latency), (0.5, 0.95)
+    rate = percent(F.count_if(failed), F.count("*")) if failed is not None else F.max(F.lit(0.0))
+    figures = {"mean": F.round(F.avg(x), 2), **{f"mean_{k}": F.round(F.avg(c), 2) for k, c in stages.items()}, "failure_rate": rate}
+    made = with_order_statistics(runs, {"x": x}, {"x": [r for p in shares for r in between(p)]}, figures)
+    median, p95 = _percentiles(shares)
+    return made.select("mean", F.round(median, 2).alias("median"), F.round(p95, 2).alias("p95"), *[f"mean_{k}" for k in stages], "failure_rate")
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
@@ -141,16 +169,38 @@ def sla(runs: DataFrame, documents: DataFrame, target_latency: float = 250.0, ta
     return made.select("p90", ok_p90.alias("latency_met"), "review_rate", ok_review.alias("review_met"), F.round(100 - F.col("review_rate"), 2).alias("auto_cleared_rate"), (ok_p90 & ok_review).alias("met"))
 
 
+def document_figures(documents: DataFrame, amounts: DataFrame, amount: str, with_confidence: bool = False) -> DataFrame:
+    """One row of volumes, reviews, amounts and, if asked for, confidences with their medians. If the amounts are a column of the
+    documents, all of it takes the same two scans."""
+    x, confidence = F.col("__amount"), F.col("overall_confidence")
+    figures = {f"volume_{k}": c for k, c in _volume_figures().items()} | {f"review_{k}": c for k, c in _review_figures().items()}
+    if with_confidence:
+        figures |= {f"confidence_{k}": c for k, c in _histogram_figures(confidence, EDGES).items()}
+    columns, ranks = {"confidence": confidence} if with_confidence else {}, {"confidence": between(0.5)}
+    if amounts is documents:
+        rows = documents.withColumn("__amount", amount_of(F.col(amount)))
+        return with_order_statistics(rows, {"amount": x, **columns}, {"amount": between(0.5), **ranks}, figures | {f"amount_{k}": c for k, c in _amount_figures(x).items()})
+    told = amounts.select(amount_of(F.col(amount)).alias("__amount"))
+    of_amounts = with_order_statistics(told, {"amount": x}, {"amount": between(0.5)}, {f"amount_{k}": c for k, c in _amount_figures(x).items()})
+    return (with_order_statistics(documents, columns, ranks, figures) if columns else documents.agg(*[c.alias(k) for k, c in figures.items()])).join(of_amounts)
+
+
+def _headline(figures: DataFrame) -> list[Column]:
+    c = F.col
+    volumes = [c(f"volume_{k}") for k in ("total", "verified", "review_required", "invalid")]
+    reviews = [c("review_flagged").alias("flagged"), c("review_review_rate").alias("review_rate"), c("review_mean_confidence").alias("mean_confidence")]
+    amounts = [c("amount_n").alias("amounts"), c("amount_sum"), _zero(_median("amount")).alias("amount_median")]
+    return [*volumes, *reviews, F.round(100 - c("review_review_rate"), 1).alias("straight_through_rate"), *amounts]
+
+
+def _with_checks_and_runs(headline: DataFrame, checks: DataFrame, runs: DataFrame) -> DataFrame:
+    return headline.join(validation_overall(checks).select(F.col("total").alias("checks"), "pass_rate")).join(latency_stats(runs).select("p50", "p90", "p99"))
+
+
 def executive_summary(documents: DataFrame, amounts: DataFrame, checks: DataFrame, runs: DataFrame, amount: str = "normalized_value") -> DataFrame:
-    """Headline figures as one row, from one pass over each table."""
-    parts = [
-        volume(documents).select(*[F.col(c).alias(f"volume_{c}") for c in ("total", "verified", "review_required", "invalid")]),
-        review_stats(documents).select("flagged", "review_rate", "mean_confidence", F.round(100 - F.col("review_rate"), 1).alias("straight_through_rate")),
-        amount_stats(amounts, amount).select(F.col("n").alias("amounts"), F.col("sum").alias("amount_sum"), F.col("median").alias("amount_median")),
-        validation_overall(checks).select(F.col("total").alias("checks"), "pass_rate"),
-        latency_stats(runs).select("p50", "p90", "p99"),
-    ]
-    return reduce(lambda a, b: a.join(b), parts)
+    """Headline figures as one row: two scans of the documents and of the runs, one of the checks."""
+    figures = document_figures(documents, amounts, amount)
+    return _with_checks_and_runs(figures.select(*_headline(figures)), checks, runs)
 
 
 def dated(children: DataFrame, documents: DataFrame, start: object = None, end: object = None, ts: str = "created_at") -> DataFrame:
@@ -197,11 +247,12 @@ def executive_record(documents: DataFrame, amounts: DataFrame, fields: DataFrame
     def gathered(df: DataFrame, name: str) -> DataFrame:
         return df.agg(F.array_sort(F.collect_list(F.struct(*df.columns))).alias(name))
 
-    histogram = confidence_histogram(documents, "overall_confidence")
+    figures = document_figures(documents, amounts, amount, with_confidence=True)
+    buckets = F.array(*[F.col(f"confidence_bucket_{i}") for i in range(len(EDGES) + 1)]).alias("confidence_buckets")
+    told = figures.select(*_headline(figures), buckets, F.round(_median("confidence"), 4).alias("confidence_median"))
     parts = [
-        executive_summary(documents, amounts, checks, runs, amount),
+        _with_checks_and_runs(told, checks, runs),
         gathered(by_status(documents), "statuses"),
-        histogram.select(F.array(*[c for c in histogram.columns if c.startswith("bucket_")]).alias("confidence_buckets"), F.col("median").alias("confidence_median")),
         gathered(validation_by_type(checks), "checks_by_type"),
         gathered(top_reasons(checks).select("n", "validation_reason"), "top_reasons"),
         gathered(field_performance(fields), "fields"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import bucket_label
 from ..functions.money import amount_of, percent
-from .quantiles import number, order_statistics
+from .quantiles import at_share, with_order_statistics
 
 #: Rows that a history must have, and the signals' limits.
 LEAST_HISTORY, Z_AMOUNT, IQR_TIMES, Z_HIGH, IQR_HIGH, Z_LATENCY, Z_LATENCY_MEDIUM = 10, 3.0, 2.5, 4.0, 4.0, 2.5, 3.5
@@ -37,13 +37,10 @@ def daily_volume(documents: DataFrame, ts: str = "created_at") -> DataFrame:
 def base_statistics(values: DataFrame, x: str) -> DataFrame:
     """One row: n, mean, population deviation and the quartiles at index floor(p n); no row below the least history.
 
-    The quartiles are worked out before, in bounded memory; the statistics are one aggregation."""
-    kept = values.where(F.col(x).isNotNull()).select(F.col(x).alias("__x"))
-    at = lambda p, n: min(int(p * n), n - 1)
-    n, found = order_statistics(kept, "__x", lambda n: [at(0.25, n), at(0.75, n)])
-    q1, q3 = (found.get(at(p, n)) for p in (0.25, 0.75))
-    made = kept.agg(F.count("*").alias("n"), F.avg("__x").alias("mean"), F.stddev_pop("__x").alias("std"), number(q1).alias("q1"), number(q3).alias("q3"))
-    return fenced(made)
+    All of it takes two scans of the history, the second one for the quartiles."""
+    v = F.col(x)
+    made = with_order_statistics(values.where(v.isNotNull()), {"x": v}, {"x": at_share(0.25) + at_share(0.75)}, {"n": F.count("*"), "mean": F.avg(v), "std": F.stddev_pop(v)})
+    return fenced(made.select("n", "mean", "std", F.col("x_0").alias("q1"), F.col("x_1").alias("q3")))
 
 
 def fenced(statistics: DataFrame) -> DataFrame:

@@ -2,30 +2,52 @@
 
 import math
 import random
+import re
 
 import pytest
+from pyspark.sql import functions as F
 
-from tallymill.operators import datasets, quantiles
+from tallymill.operators import datasets, kpi, quantiles
 
 
-@pytest.mark.parametrize("few", [0, 50])
-def test_order_statistics(spark, monkeypatch, few):
-    monkeypatch.setattr(quantiles, "FEW", few)
-    monkeypatch.setattr(quantiles, "BUCKETS", 16)
+def scans(df) -> int:
+    """The scans of the plan as it ran: what is reused runs once, and a subquery's first plan reads the same columns as its last."""
+    df.collect()
+    ran = df._jdf.queryExecution().executedPlan().toString().split("\n+- == Initial Plan ==")[0]
+    return len(set(re.findall(r"FileScan parquet \[([^\]]*)\]", ran)))
+
+
+@pytest.mark.parametrize("sketch", [4096, 64])
+def test_order_statistics(spark, monkeypatch, sketch):
+    """All values counted, and brackets of a coarse sketch; ties, tails, infinities, two columns at once."""
+    monkeypatch.setattr(quantiles, "SKETCH", sketch)
+    monkeypatch.setattr(quantiles, "ERROR", 0.0008 if sketch == 4096 else 0.04)
+    monkeypatch.setattr(quantiles, "PARTS", 8)
     r = random.Random(3)
     cases = [
-        [r.gauss(0, 1) for _ in range(300)], [1.0] * 200 + [2.0, 3.0], [r.lognormvariate(0, 4) for _ in range(200)], [5.0],
-        [-math.inf, math.inf, 1e308, -1e308, 0.0, 1.0], [float(k % 7) for k in range(100)],
+        [r.gauss(0, 1) for _ in range(900)], [1.0] * 700 + [2.0, 3.0], [r.lognormvariate(0, 4) for _ in range(700)], [5.0],
+        [-math.inf, math.inf, 1e308, -1e308, 0.0, 1.0] * 30, [float(k % 7) for k in range(500)], [],
     ]
-    for values in cases:
-        df = spark.createDataFrame([(v,) for v in [*values, None, math.nan]], "x double")
-        n, found = quantiles.order_statistics(df, "x", lambda n: [0, n // 4, n // 2, n - 1, n + 5])
-        want = sorted(values)
-        assert n == len(values) and found == {k: want[k] for k in {0, n // 4, n // 2, n - 1}}
-    assert quantiles.order_statistics(df.limit(0), "x", lambda n: [0]) == (0, {})
-    assert quantiles.interpolated(df.limit(0), "x", (0.5,)) == [None]
-    assert quantiles.interpolated(spark.createDataFrame([(1.0,), (2.0,)], "x double"), "x", (0.5, 0.0, 1.0)) == [1.5, 1.0, 2.0]
-    assert quantiles.nearest_ranks(spark.range(1, 11), "id", (0.5, 0.9, 0.99)) == [5.0, 9.0, 10.0]
+    rows = [(g, v, float(k)) for g, values in enumerate(cases) for k, v in enumerate([*values, None, math.nan])]
+    df = spark.createDataFrame(rows, "g int, x double, k double").repartition(3)
+    ranks = [*quantiles.between(0.5), *quantiles.nearest(0.99), *quantiles.at_share(0.25), *quantiles.nearest(0.0)]
+    for g, values in enumerate(cases):
+        made = quantiles.with_order_statistics(df.where(F.col("g") == g), {"x": F.col("x"), "k": F.col("k")}, {"x": ranks, "k": quantiles.nearest(0.5)}, {"rows": F.count("*")}).first()
+        n, want = len(values), sorted(values)
+        at = [math.floor(0.5 * (n - 1)), math.ceil(0.5 * (n - 1)), math.ceil(0.99 * n) - 1, min(int(0.25 * n), n - 1), 0]
+        assert made["rows"] == n + 2 and made["n_x"] == n and made["n_k"] == n + 2
+        assert [made[f"x_{i}"] for i in range(5)] == [want[a] if n else None for a in at]
+        assert made["k_0"] == math.ceil(0.5 * (n + 2)) - 1
+
+
+def test_two_scans(spark, sf_dir):
+    """Figures and ranks of a column, and headline figures of documents and their amounts, read each table twice."""
+    read = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    x = F.col("l_extendedprice")
+    assert scans(quantiles.with_order_statistics(read, {"x": x}, {"x": quantiles.between(0.5) + quantiles.nearest(0.9)}, {"mean": F.avg(x)})) == 2
+    assert scans(kpi.amount_stats(read.withColumn("t", x.cast("string")), "t")) == 2
+    docs = read.select(x.cast("string").alias("amount"), F.lit("VERIFIED").alias("status"), F.lit(True).alias("review_required"), F.col("l_discount").alias("overall_confidence"))
+    assert scans(kpi.document_figures(docs, docs, "amount", with_confidence=True)) == 2
 
 
 def test_numbered_in_parts(spark):
