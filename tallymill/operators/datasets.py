@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from . import prefix
 
 
 def duplicate_groups(samples: DataFrame, hash_col: str = "image_hash", id_col: str = "sample_id", most: int = 10_000) -> DataFrame:
@@ -78,14 +79,6 @@ def numbered(rows: DataFrame, part: Column, order: tuple[str, ...], out: str, by
     return made.withColumn(out, F.col("__own") + F.col("__before")).drop("__part", "__own", "__before", "__at", *[f"__by_{c}" for c in by])
 
 
-def range_part(rows: DataFrame, ordinal: str, parts: int = 1024) -> Column:
-    """The part of a numeric column's range that a row's value lies in, in the column's order."""
-    low, high = rows.agg(F.min(ordinal), F.max(ordinal)).first()
-    if low is None or low == high:
-        return F.lit(0)
-    return F.floor((F.col(ordinal).cast("double") - float(low)) / (float(high) - float(low)) * (parts - 1)).cast("int")
-
-
 def leak_free_split(samples: DataFrame, hash_col: str = "image_hash", seed: str = "42", train: float = 0.72, val: float = 0.14) -> DataFrame:
     """(hash, split): unique hashes in a seeded order, cut by exact sizes, so equal contents never part."""
     unique = samples.where(F.coalesce(F.col(hash_col), F.lit("")) != "").select(hash_col).distinct()
@@ -146,14 +139,14 @@ def coco_annotations(samples: DataFrame, categories: list[str], ordinal: str = "
     number = F.create_map(*[x for i, c in enumerate(categories) for x in (F.lit(c), F.lit(i + 1))])
     boxes = samples.select("sample_id", "split", ordinal, F.explode("annotations").alias("field", "box"))
     rows = boxes.withColumn("category_id", F.try_element_at(number, F.col("field"))).where(F.col("category_id").isNotNull() & G.is_valid(F.col("box")))
-    made = numbered(rows, range_part(samples, ordinal), (ordinal, "category_id"), "annotation_id", ("split",))
+    made = prefix.numbered(rows, [F.col(ordinal), F.col("category_id")], "annotation_id", ("split",))
     return made.select("split", F.col("annotation_id").cast("long").alias("annotation_id"), "sample_id", "category_id", G.coco(F.col("box")).alias("bbox"), G.area(F.col("box")).alias("area"))
 
 
 def coco_images(samples: DataFrame, ordinal: str = "ordinal") -> DataFrame:
     """The images section: running ids from 1 within each split, in the samples' order; what has no size is no image."""
     sized = samples.where((F.col("width") > 0) & (F.col("height") > 0))
-    made = numbered(sized, range_part(samples, ordinal), (ordinal,), "image_id", ("split",))
+    made = prefix.numbered(sized, [F.col(ordinal)], "image_id", ("split",))
     return made.select("split", F.col("image_id").cast("long").alias("image_id"), "sample_id", "file_name", "width", "height")
 
 

@@ -9,6 +9,7 @@ from ..functions import geometry as G
 from ..functions import text as X
 from ..functions import validate as V
 from ..functions.money import share
+from . import prefix
 
 
 def confusion_matrix(pairs: DataFrame, classes: int, truth: str = "truth", predicted: str = "predicted") -> DataFrame:
@@ -117,37 +118,38 @@ def detection_metrics(hit: DataFrame, truths: DataFrame, threshold: float = 0.5)
     return made.select("class_id", "truths", "predictions", "tp", (F.col("predictions") - F.col("tp")).alias("fp"), (F.col("truths") - F.col("tp")).alias("fn"), F.round(p, 4).alias("precision"), F.round(r, 4).alias("recall"), F.round(share(2 * p * r, p + r), 4).alias("f1"))
 
 
-def average_precision(matched: DataFrame, truths: DataFrame, thresholds: list[float], parts: int = 1024) -> DataFrame:
+def average_precision(matched: DataFrame, truths: DataFrame, thresholds: list[float], parts: int | None = None) -> DataFrame:
     """(class_id, threshold, ap) of classes with truths: area under the falling envelope of precision over recall, by
     trapezoids between the points and the ends (0, 0) and (1, 0).
 
-    The curves of a class are worked out in ``parts`` ranges of the score (0 to 1), all thresholds side by side: counts and the
-    best precisions of each range are small tables, from which ranges get what lies before and behind them, so no task sees
-    a whole class. Only true positives move the recall, and the point before one is known from its own counts."""
+    The predictions are dealt in ``parts`` ranges of about equally many, surest first within a class; equal scores are split by
+    image and prediction. All thresholds run side by side: counts of predictions and hits are carried from the ranges before,
+    the best precision from those behind, so no task sees a whole class. Only true positives move the recall, and the point
+    before one is known from its own counts."""
     which = range(len(thresholds))
     columns = lambda name: [f"{name}_{i}" for i in which]
-    key = ["class_id", "part"]
-    part = F.greatest(F.lit(0), F.least(F.lit(parts - 1), F.floor(F.col("score") * parts))).cast("int")
+    key, part = ("class_id",), prefix.PART
     n = truths.groupBy("class_id").agg(F.count("*").alias("truths"))
     rows = claimed(matched.join(n.select("class_id"), "class_id", "left_semi"))
-    rows = rows.select("class_id", part.alias("part"), "score", "image_id", "pred_id", *[_positive(F.lit(t)).alias(f"tp_{i}") for i, t in enumerate(thresholds)])
-    sizes = rows.groupBy(*key).agg(F.count("*").alias("n"), *[F.sum(f"tp_{i}").alias(f"hits_{i}") for i in which])
-    above = Window.partitionBy("class_id").orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
-    before = sizes.select(*key, *[F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"{c}_above") for c in ("n", *columns("hits"))])
-    own = Window.partitionBy(*key).orderBy(F.desc("score"), "image_id", "pred_id")
+    rows = rows.select("class_id", "score", "image_id", "pred_id", *[_positive(F.lit(t)).alias(f"tp_{i}") for i, t in enumerate(thresholds)])
+    order = [F.desc("score"), F.col("image_id"), F.col("pred_id")]
+    rows = prefix.ranges(rows, [F.col("class_id"), *order], parts)
+    sizes = rows.groupBy("class_id", part).agg(F.count("*").alias("n"), *[F.sum(f"tp_{i}").alias(f"hits_{i}") for i in which])
+    before = prefix.carried(sizes, key, {f"{c}_above": F.sum(c) for c in ("n", *columns("hits"))})
+    own = Window.partitionBy("class_id", part).orderBy(*order)
     upto = own.rowsBetween(Window.unboundedPreceding, 0)
-    counted = rows.select("*", F.row_number().over(own).alias("k"), *[F.sum(f"tp_{i}").over(upto).alias(f"hits_{i}") for i in which]).join(before, key)
-    points = counted.withColumn("k", F.col("k") + F.col("n_above")).withColumns({f"hits_{i}": F.col(f"hits_{i}") + F.col(f"hits_{i}_above") for i in which})
-    points = points.select(*key, "k", *columns("tp"), *columns("hits"), *[(F.col(f"hits_{i}") / F.col("k")).alias(f"precision_{i}") for i in which])
-    below = Window.partitionBy("class_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    best = points.groupBy(*key).agg(*[F.max(f"precision_{i}").alias(f"best_{i}") for i in which])
-    behind = best.select(*key, *[F.coalesce(F.max(f"best_{i}").over(below), F.lit(0.0)).alias(f"behind_{i}") for i in which])
+    counted = prefix.joined(rows.select("*", F.row_number().over(own).alias("k"), *[F.sum(f"tp_{i}").over(upto).alias(f"hits_{i}") for i in which]), before, key)
+    above = lambda c: F.col(c) + F.coalesce(f"{'n' if c == 'k' else c}_above", F.lit(0))
+    points = counted.withColumns({c: above(c) for c in ("k", *columns("hits"))})
+    points = points.select("class_id", part, "k", *columns("tp"), *columns("hits"), *[(F.col(f"hits_{i}") / F.col("k")).alias(f"precision_{i}") for i in which])
+    best = points.groupBy("class_id", part).agg(*[F.max(f"precision_{i}").alias(f"best_{i}") for i in which])
+    behind = prefix.carried(best, key, {}, {f"behind_{i}": F.max(f"best_{i}") for i in which})
     # read from the end, so that the frame only grows: one that shrinks would be scanned anew for each row
-    back = Window.partitionBy(*key).orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, 0)
-    line = points.select("*", *[F.max(f"precision_{i}").over(back).alias(f"own_{i}") for i in which]).join(behind, key)
+    back = Window.partitionBy("class_id", part).orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, 0)
+    line = prefix.joined(points.select("*", *[F.max(f"precision_{i}").over(back).alias(f"own_{i}") for i in which]), behind, key)
 
     def area(i: int) -> Column:
-        envelope = F.greatest(f"own_{i}", f"behind_{i}")
+        envelope = F.greatest(f"own_{i}", F.coalesce(f"behind_{i}", F.lit(0.0)))
         earlier = F.greatest(envelope, F.coalesce(F.try_divide(F.col(f"hits_{i}") - 1, F.col("k") - 1), F.lit(0.0)))
         return F.sum(F.when(F.col(f"tp_{i}") == 1, (envelope + earlier) / 2)).alias(f"area_{i}")
 

@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from tallymill.operators import datasets, kpi, quantiles
+from tallymill.operators import datasets, evaluate, kpi, prefix, quantiles
 
 
 def scans(df) -> int:
@@ -52,8 +52,43 @@ def test_two_scans(spark, sf_dir):
 
 def test_numbered_in_parts(spark):
     rows = spark.createDataFrame([(g, k) for g in ("a", "b", None) for k in range(50)], "g string, k long")
-    made = datasets.numbered(rows, datasets.range_part(rows, "k", 8), ("k",), "n", ("g",)).collect()
+    made = prefix.numbered(rows, [F.col("k")], "n", ("g",), parts=8).collect()
     assert {(r["g"], r["k"], r["n"]) for r in made} == {(g, k, k + 1) for g in ("a", "b", None) for k in range(50)}
+    assert prefix.numbered(rows.limit(0), [F.col("k")], "n").count() == 0
+
+
+def test_ranges_are_even(spark):
+    """Nine of ten rows have one score, one ordinal lies far from all others, and one class has most rows: no range is large."""
+    r = random.Random(6)
+    rows = [("c" if r.random() < 0.8 else r.choice("ab"), 1.0 if r.random() < 0.9 else r.random(), k, k if k else 10**15) for k in range(20_000)]
+    df = spark.createDataFrame(rows, "class_id string, score double, image_id long, ordinal long").repartition(5)
+    for order in ([F.col("class_id"), F.desc("score"), F.col("image_id")], [F.col("ordinal")]):
+        sizes = [s["n"] for s in prefix.ranges(df, order, 16).groupBy(prefix.PART).agg(F.count("*").alias("n")).collect()]
+        assert len(sizes) == 16 and max(sizes) <= 2 * sum(sizes) / 16
+    made = prefix.numbered(df, [F.col("ordinal")], "n", parts=16).collect()
+    assert [m["n"] for m in sorted(made, key=lambda m: m["ordinal"])] == list(range(1, 20_001))
+
+
+def test_average_precision_with_saturated_scores(spark):
+    """Nine of ten scores are 1.0; the curve against a plain computation, in one range and in many."""
+    r = random.Random(7)
+    rows = [(k // 4, r.randint(1, 2), k, 1.0 if r.random() < 0.9 else round(r.random(), 2), k if r.random() < 0.6 else None, r.choice([0.4, 0.6, 0.8])) for k in range(1500)]
+    matched = spark.createDataFrame(rows, "image_id long, class_id int, pred_id long, score double, truth_id long, iou double")
+    truths = spark.createDataFrame([(k // 4, 1 + k % 2, k) for k in range(1200)], "image_id long, class_id int, truth_id long")
+
+    def plain(c, t):
+        own = sorted((x for x in rows if x[1] == c), key=lambda x: (-x[3], x[0], x[2]))
+        points, tp = [(0.0, 0.0)], 0
+        for k, x in enumerate(own, 1):
+            tp += x[4] is not None and x[5] >= t
+            points.append((tp / 600, tp / k))
+        points.append((1.0, 0.0))
+        envelope = [max(p for _, p in points[i:]) for i in range(len(points))]
+        return sum((points[i + 1][0] - points[i][0]) * (envelope[i + 1] + envelope[i]) / 2 for i in range(len(points) - 1))
+
+    for parts in (1, 13):
+        got = {(g["class_id"], g["threshold"]): g["ap"] for g in evaluate.average_precision(matched, truths, [0.5, 0.75], parts).collect()}
+        assert all(abs(v - plain(c, t)) < 2e-6 for (c, t), v in got.items()) and len(got) == 4
 
 
 def test_large_groups_of_duplicates_are_not_listed(spark):
