@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry, money, normalize, validate
 from ..functions.let import staged
 from ..operators import evaluate, ledger, mutate, review, tokens
+from ..operators.prefix import shared_folder
 from ..session import spread
 from ..streaming import ingest
 from .slate import ORACLES, QUERIES, slate
@@ -483,10 +483,7 @@ def ingest_stream(spark, sf_dir):
     """Events as landed files, streamed to their end: gates, copies dropped within the watermark, appended with signals. The SQL
     tells the rows where all events land within one batch, as in the driver's tables."""
     schema = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
-    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    folder = f"{folder or tempfile.mkdtemp(prefix='tallymill-stream-')}/stream-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     # a file or a folder of parts
     raw = ingest.landing(spark, f"{sf_dir}/events.parquet*", schema)
     landed = raw.select(

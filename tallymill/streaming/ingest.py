@@ -40,7 +40,7 @@ def added(a: DataFrame, b: DataFrame) -> DataFrame:
     apart = F.when(F.count("*") > 1, F.pow(F.max("mean") - F.min("mean"), F.lit(2)) * F.product("n") / F.sum("n")).otherwise(0.0)
     return a.unionByName(b).where("n > 0").agg(
         F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("mean"),
-        (F.sum("deviations") + apart).alias("deviations"), F.kll_merge_agg_double("sketch").alias("sketch"),
+        (F.sum("deviations") + apart).alias("deviations"), F.kll_merge_agg_double("sketch", F.lit(SKETCH)).alias("sketch"),
     )
 
 
