@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import box
 from ..functions.validate import reject_reason
+from . import images
 
 
 def image_files(spark: SparkSession, path: str, pattern: str = "*.{tif,tiff}") -> DataFrame:
-    """(sample_id, path, length, image_hash) of image files; hidden files are skipped by the reader, empty ones too."""
+    """(sample_id, path, length, image_hash, format, width, height, mode, fault) of image files, the last five from their headers;
+    hidden files are skipped by the reader."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
     name = F.substring_index("path", "/", -1)
-    return files.select(F.replace(F.lower(F.regexp_replace(name, r"\.[^.]*$", "")), F.lit(" "), F.lit("_")).alias("sample_id"), "path", "length", F.sha2("content", 256).alias("image_hash"))
+    sample = F.replace(F.lower(F.regexp_replace(name, r"\.[^.]*$", "")), F.lit(" "), F.lit("_"))
+    return images.facts(files.select(sample.alias("sample_id"), "path", "length", F.sha2("content", 256).alias("image_hash"), "content"))
 
 
 def labelled_images(spark: SparkSession, paths: dict[str, str], boxes: tuple[str, ...]) -> DataFrame:
@@ -64,8 +67,12 @@ def ocr_tokens(spark: SparkSession, path: str) -> DataFrame:
 
 
 def landed(files: DataFrame, known_hashes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(new, known, rejected) of uploads (name, length, width, height, image_hash): gates first, then known hashes."""
-    gated = files.withColumn("reject_reason", reject_reason(F.col("name"), F.col("length"), F.col("width"), F.col("height")))
+    """(new, known, rejected) of uploads (name, content): the gates on name and size, then what the header says, then known hashes.
+    Of several new uploads with one hash the first by name is new and the others are known."""
+    told = images.facts(files.select("name", F.octet_length("content").cast("long").alias("length"), F.sha2("content", 256).alias("image_hash"), "content"))
+    reason = F.coalesce(reject_reason(F.col("name"), F.col("length"), F.col("width"), F.col("height")), images.fault_reason(F.col("fault")))
+    gated = told.withColumn("reject_reason", reason)
     good = gated.where("reject_reason is null")
-    hashes = known_hashes.select("image_hash").distinct()
-    return good.join(hashes, "image_hash", "left_anti").dropDuplicates(["image_hash"]), good.join(hashes, "image_hash", "left_semi"), gated.where("reject_reason is not null")
+    first = good.groupBy("image_hash").agg(F.min("name").alias("name")).join(known_hashes.select("image_hash").distinct(), "image_hash", "left_anti")
+    new = good.join(first, ["image_hash", "name"], "left_semi").dropDuplicates(["image_hash", "name"])
+    return new, good.join(first, ["image_hash", "name"], "left_anti"), gated.where("reject_reason is not null")

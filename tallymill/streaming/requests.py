@@ -117,13 +117,17 @@ def wide(rows: DataFrame, fields: str) -> DataFrame:
     return rows.withColumns({**columns, **signed, "amt_in_words": value("amt_in_words"), "bank_name": value("bank_name"), "overall_confidence": F.coalesce(F.round(mean, 4), F.lit(0.0))})
 
 
-def judged(changed: DataFrame, fields: str, reference: Column | None) -> DataFrame:
-    """Status, priority and reasons of changed documents, by one of their maps of fields."""
-    return review.triage(wide(changed, fields), reference)
+def judged(changed: DataFrame, reference: Column | None) -> DataFrame:
+    """Status, priority and reasons of changed documents, as they were before (``earlier``) and as they are: one plan for both."""
+    sides = F.array(F.struct(F.lit(True).alias("earlier"), F.col("before").alias("f")), F.struct(F.lit(False).alias("earlier"), F.col("after").alias("f")))
+    rows = changed.select("doc_id", F.inline(sides)).where("f is not null")
+    # triage hands the id on as it is
+    made = review.triage(wide(rows.withColumn("doc_id", F.struct("doc_id", "earlier")), "f"), reference)
+    return made.select("doc_id.*", *[c for c in made.columns if c != "doc_id"])
 
 
 def start(requests: DataFrame, folder: str, checkpoint: str, reference: Column | None = None, history: DataFrame | None = None, **waits: str) -> StreamingQuery:
-    """Writes, under the number of each batch: ``changes`` as the state told them, ``documents`` (a version a row), ``fields``,
+    """Writes, under the number of each batch: ``changes`` as the state told them, ``judged``, ``documents`` (a version a row), ``fields``,
     ``checks``, ``audit``, ``totals`` and ``signals``. A reader of the current state takes each document's last version."""
 
     def write(batch: DataFrame, number: int) -> None:
@@ -139,13 +143,13 @@ def start(requests: DataFrame, folder: str, checkpoint: str, reference: Column |
             put(spark.read.parquet(f"{folder}/totals/batch={number - 1}"), "totals")
             return
         changed = told.where(F.col("event").isin("landed", "changed"))
-        after = judged(changed, "after", reference)
+        both = put(judged(changed, reference), "judged")
         version = changed.select("doc_id", "image_hash", "version", "landed_at", "amount")
-        documents = put(after.join(version, "doc_id"), "documents")
+        documents = put(both.where("not earlier").drop("earlier").join(version, "doc_id"), "documents")
         field = changed.select("doc_id", "version", F.explode(F.from_json("after", FIELDS)).alias("field_name", "f"))
         put(field.select("doc_id", "version", "field_name", "f.value", "f.confidence", "f.method"), "fields")
         put(review.validation_rows(documents).join(version.select("doc_id", "version"), "doc_id"), "checks")
-        earlier = judged(changed.where("before is not null"), "before", reference).select("doc_id", F.col("status").alias("old_status"))
+        earlier = both.where("earlier").select("doc_id", F.col("status").alias("old_status"))
         moved = documents.join(earlier, "doc_id", "left").where("old_status is null or old_status <> status")
         event = audit_event(moved, "STATUS_CHANGE", "cheque", "doc_id", {"old_status": F.coalesce("old_status", F.lit("LANDED")), "new_status": F.col("status")}, F.col("landed_at"))
         copied = told.where("copies > 0")
