@@ -70,14 +70,12 @@ def normalize_payee(part):
     return _normalized(part, "p_partkey", raw, normalize.payee)
 
 
-@slate(r"""SELECT p_partkey, upper(substr(a, 1, 1)) || substr(a, 2) || '-' || upper(substr(b, 1, 1)) || substr(b, 2) || ' Hundred' AS normalized_text, TRUE AS is_valid
+@slate(r"""SELECT p_partkey, upper(substr(a, 1, 1)) || substr(a, 2) || ' ' || upper(substr(b, 1, 1)) || substr(b, 2) || ' Hundred' AS normalized_text, TRUE AS is_valid
     FROM (SELECT p_partkey, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b FROM part)""")
 def normalize_words(part):
     a, b = F.split_part("p_name", F.lit(" "), F.lit(1)), F.split_part("p_name", F.lit(" "), F.lit(2))
-    # hyphens are fillers of this rule, so the words are joined by a sign that only a later rule removes
-    rows = part.select("p_partkey", F.concat(F.lit("RUPEES "), F.upper(a), F.lit(" "), b, F.lit("  hundred ONLY /=")).alias("raw"))
-    made = rows.withColumn("r", normalize.amount_words(F.col("raw")))
-    return made.select("p_partkey", F.regexp_replace(F.col("r.normalized_text"), "^(\\S+) ", "$1-").alias("normalized_text"), F.col("r.is_valid").alias("is_valid"))
+    raw = F.concat(F.lit("RUPEES "), F.upper(a), F.lit(" "), b, F.lit("  hundred ONLY /="))
+    return _normalized(part, "p_partkey", raw, normalize.amount_words)
 
 
 @slate("""SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'acno' WHEN 1 THEN 'amount' WHEN 2 THEN 'name' END AS rule, CASE c_custkey % 4 WHEN 0 THEN '000' || CAST(c_custkey + 100000000 AS STRING) WHEN 1 THEN CAST(c_custkey + 1 AS STRING)
@@ -101,10 +99,15 @@ def words_to_number(orders):
 # Validation and review
 
 REFERENCE = "DATE '2001-01-01'"
+#: Amounts in words: every fifth agrees with its figures, every fifth need not.
+THOUSANDS = ("five", "ten", "fifteen", "twenty", "twenty five", "thirty", "thirty five", "forty", "forty five")
+SAID = "CASE o_orderkey % 9 " + " ".join(f"WHEN {k} THEN '{w} thousand'" for k, w in enumerate(THOUSANDS)) + " END"
 WIDE = """SELECT o_orderkey AS doc_id, CASE o_orderkey % 7 WHEN 0 THEN '12345' WHEN 1 THEN '12A456789' ELSE lpad(CAST(o_orderkey AS STRING), 12, '0') END AS acno,
     CASE o_orderkey % 11 WHEN 0 THEN 'SBIN001' WHEN 1 THEN 'CNRBO123456' ELSE 'CNRB0' || lpad(CAST(o_custkey % 1000000 AS STRING), 6, '0') END AS ifsc,
     CASE o_orderkey % 13 WHEN 0 THEN '30/02/2000' WHEN 1 THEN '2000' ELSE lpad(CAST(o_orderkey % 28 + 1 AS STRING), 2, '0') || '/' || lpad(CAST(o_orderkey % 12 + 1 AS STRING), 2, '0') || '/' || CAST(2000 + o_orderkey % 2 AS STRING) END AS date,
-    CASE o_orderkey % 17 WHEN 0 THEN '' WHEN 1 THEN '0' WHEN 2 THEN 'abc' ELSE CAST(CAST(floor(o_totalprice) AS BIGINT) AS STRING) END AS amount,
+    CASE WHEN o_orderkey % 17 = 0 THEN '' WHEN o_orderkey % 17 = 1 THEN '0' WHEN o_orderkey % 17 = 2 THEN 'abc' WHEN o_orderkey % 5 = 1 THEN CAST(5000 * (o_orderkey % 9 + 1) AS STRING)
+    ELSE CAST(CAST(floor(o_totalprice) AS BIGINT) AS STRING) END AS amount, CASE WHEN o_orderkey % 5 < 2 THEN """ + SAID + """ END AS amt_in_words,
+    CASE o_orderkey % 6 WHEN 0 THEN 'Canara Bank, Main Branch' WHEN 1 THEN 'State Bank of India' WHEN 2 THEN '' END AS bank_name,
     CASE o_orderkey % 19 WHEN 0 THEN 'A' WHEN 1 THEN 'CASH' ELSE 'Payee' END AS name, CAST((o_orderkey * 37) % 101 AS DOUBLE) / 100 AS conf, o_orderkey % 23 > 0 AS signature_present FROM orders"""
 ERRORS = {
     "acno": "CASE WHEN acno = '12A456789' THEN ['Account number contains non-numeric characters: ''12A456789'''] WHEN length(acno) < 9 THEN ['Account number length (' || length(acno) || ') is below minimum standard of 9 digits'] ELSE [] END",
@@ -131,16 +134,25 @@ def validate_fields(orders):
 
 def _wide(orders):
     rows = orders.sparkSession.sql(WIDE.replace("FROM orders", "FROM {orders}"), orders=spread(orders))
-    return rows.withColumns({**{f"{f}_confidence": F.col("conf") for f in FIELDS}, "overall_confidence": F.col("conf"), "signature_confidence": F.when(F.col("signature_present"), 0.9).otherwise(0.0), "amt_in_words": F.lit(None).cast("string"), "bank_name": F.lit(None).cast("string")})
+    return rows.withColumns({**{f"{f}_confidence": F.col("conf") for f in FIELDS}, "overall_confidence": F.col("conf"), "signature_confidence": F.when(F.col("signature_present"), 0.9).otherwise(0.0)})
 
 
 LOW = "CASE WHEN conf < 0.6 THEN ['Composite confidence ' || format('{:.2f}', conf) || ' falls below threshold 0.60'] ELSE [] END"
 _parts = [f"list_transform(list_concat(list_concat({ERRORS[f]}, {WARNINGS.get(f, '[]')}), {LOW}), lambda r: '[{f.upper()}] ' || r)" for f in FIELDS]
-_parts += ["CASE WHEN amount = '' THEN ['Mandatory field ''amount'' has empty value'] ELSE [] END", "CASE WHEN NOT signature_present THEN ['Signature unconfirmed in designated signatory area (confidence: 0.00)', '[CONSISTENCY] Signature mark not detected with sufficient confidence (0.00 < 0.50)'] ELSE [] END"]
+#: What fields say against each other. Figures are read where they can be, whether they are valid or not.
+FIGURES, WORDS = "TRY_CAST(amount AS DOUBLE)", "CASE WHEN amt_in_words IS NOT NULL THEN CAST(5000 * (doc_id % 9 + 1) AS DOUBLE) END"
+OTHER_BANK = "(ifsc LIKE 'CNRB%' AND NOT contains(upper(bank_name), 'CANARA')) OR (ifsc LIKE 'SBIN%' AND NOT contains(upper(bank_name), 'STATE BANK'))"
+APART = {
+    "amount": f"CASE WHEN abs({FIGURES} - {WORDS}) > 1 THEN ['Mismatch between amount in figures (₹' || format('{{:,.2f}}', {FIGURES}) || ') and amount in words (₹' || format('{{:,.2f}}', {WORDS}) || ')'] ELSE [] END",
+    "bank": f"CASE WHEN bank_name <> '' AND ({OTHER_BANK}) THEN [concat('IFSC prefix ', chr(39), substr(ifsc, 1, 4), chr(39), ' does not match bank name ', chr(39), bank_name, chr(39))] ELSE [] END",
+    "signature": "CASE WHEN NOT signature_present THEN ['Signature mark not detected with sufficient confidence (0.00 < 0.50)'] ELSE [] END",
+}
+_parts += ["CASE WHEN amount = '' THEN ['Mandatory field ''amount'' has empty value'] ELSE [] END", "CASE WHEN NOT signature_present THEN ['Signature unconfirmed in designated signatory area (confidence: 0.00)'] ELSE [] END"]
+_parts += [f"list_transform({x}, lambda r: '[CONSISTENCY] ' || r)" for x in APART.values()]
 REASONS = _parts[0]
 for _p in _parts[1:]:
     REASONS = f"list_concat({REASONS}, {_p})"
-FATAL = " + ".join(f"len({ERRORS[f]})" for f in FIELDS) + " + CASE WHEN amount = '' THEN 1 ELSE 0 END + CASE WHEN signature_present THEN 0 ELSE 1 END"
+FATAL = " + ".join(f"len({ERRORS[f]})" for f in FIELDS) + f" + CASE WHEN amount = '' THEN 1 ELSE 0 END + CASE WHEN signature_present THEN 0 ELSE 1 END + len({APART['amount']})"
 TRIAGED = f"""SELECT *, CASE WHEN status = 'INVALID' THEN 'HIGH' WHEN status = 'REVIEW_REQUIRED' THEN CASE WHEN coalesce(TRY_CAST(amount AS DOUBLE), 0) >= 50000 OR len(reasons) >= 3 THEN 'HIGH' ELSE 'MEDIUM' END ELSE 'LOW' END AS priority
     FROM (SELECT *, CASE WHEN n_fatal > 0 THEN 'INVALID' WHEN len(reasons) > 0 THEN 'REVIEW_REQUIRED' WHEN conf >= 0.8 THEN 'VERIFIED' ELSE 'PROCESSED' END AS status
     FROM (SELECT *, {REASONS} AS reasons, {FATAL} AS n_fatal FROM w))"""
@@ -163,6 +175,13 @@ def priority_queue(orders):
     return review.queue(review.triage(_wide(orders), F.to_date(F.lit("2001-01-01"))), status="REVIEW_REQUIRED").select("doc_id", "priority", "rank")
 
 
+@slate(f"WITH w AS ({WIDE}) " + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS \"check\", unnest({x}) AS text, {'FALSE' if k == 'bank' else 'TRUE'} AS critical FROM w" for k, x in APART.items()))
+def field_discrepancies(orders):
+    c = F.col
+    found = staged(_wide(orders), lambda: {"d": review.discrepancies(c("amount"), c("amt_in_words"), c("ifsc"), c("bank_name"), c("signature_present"), c("signature_confidence"))})
+    return found.select("doc_id", F.inline("d"))
+
+
 @slate("""SELECT o_orderkey, coalesce(CASE WHEN abs(CAST(floor(o_totalprice) AS BIGINT) - 5000 * (o_orderkey % 9 + 1)) > 1 THEN 'Mismatch between amount in figures (₹' || format('{:,.2f}', CAST(floor(o_totalprice) AS DOUBLE)) ||
     ') and amount in words (₹' || format('{:,.2f}', CAST(5000 * (o_orderkey % 9 + 1) AS DOUBLE)) || ')' END, '') AS mismatch FROM orders""")
 def amount_consistency(orders):
