@@ -156,6 +156,19 @@ def coco_categories(spark: SparkSession, categories: list[str]) -> DataFrame:
     return named.select("category_id", F.element_at(F.array(*map(F.lit, categories)), F.col("category_id")).alias("name"))
 
 
+def coco_sections(samples: DataFrame, categories: list[str], splits: tuple[str, ...] = ("train", "val", "test"), ordinal: str = "ordinal") -> dict[str, DataFrame]:
+    """The three sections of an export, with ids that run over all splits in the samples' order: images (image_id, split, …),
+    annotations, each with its image's id, and categories. A sample of another split is no image; boxes of unknown fields or
+    without an area are no annotations. A split's file has its images and annotations and all categories."""
+    kept = samples.where(F.col("split").isin(*splits))
+    images = prefix.numbered(kept, [F.col(ordinal)], "image_id").withColumn("image_id", F.col("image_id").cast("long"))
+    number = F.create_map(*[x for i, c in enumerate(categories) for x in (F.lit(c), F.lit(i + 1))])
+    boxes = images.select("split", "image_id", F.explode("annotations").alias("field", "box")).withColumn("category_id", F.try_element_at(number, F.col("field")))
+    rows = prefix.numbered(boxes.where(F.col("category_id").isNotNull() & G.is_valid(F.col("box"))), [F.col("image_id"), F.col("category_id")], "annotation_id")
+    annotations = rows.select("split", F.col("annotation_id").cast("long"), "image_id", "category_id", G.coco(F.col("box")).alias("bbox"), G.area(F.col("box")).alias("area"), F.lit(0).alias("iscrowd"))
+    return {"images": images.drop("annotations"), "annotations": annotations, "categories": coco_categories(samples.sparkSession, categories)}
+
+
 def sample_issues(samples: DataFrame) -> DataFrame:
     """Adds issues: bad dimensions, dimensions that differ from the decoded ones, boxes out of order or of the image, empty text."""
     boxes = F.map_entries(F.coalesce("annotations", F.create_map().cast(samples.schema["annotations"].dataType)))

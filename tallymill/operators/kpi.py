@@ -249,7 +249,7 @@ def executive_record(documents: DataFrame, amounts: DataFrame, fields: DataFrame
 
     figures = document_figures(documents, amounts, amount, with_confidence=True)
     buckets = F.array(*[F.col(f"confidence_bucket_{i}") for i in range(len(EDGES) + 1)]).alias("confidence_buckets")
-    told = figures.select(*_headline(figures), buckets, F.round(_median("confidence"), 4).alias("confidence_median"))
+    told = figures.select(*_headline(figures), *[f"amount_{k}" for k in ("mean", "min", "max", "std")], buckets, F.round(_median("confidence"), 4).alias("confidence_median"))
     parts = [
         _with_checks_and_runs(told, checks, runs),
         gathered(by_status(documents), "statuses"),

@@ -29,6 +29,8 @@ STATUSES = ("PROCESSED", "VERIFIED", "REVIEW_REQUIRED", "INVALID")
 TIERS = ("HIGH", "MEDIUM", "LOW")
 METHODS = ("ocr", "recognizer", "hybrid", "none", "manual_correction")
 RESOLUTIONS = ("PENDING", "ACCEPTED", "REJECTED", "CORRECTED")
+PRIORITIES = ("HIGH", "MEDIUM", "LOW")
+OUTCOMES = ("VALID", "WARNING", "INVALID")
 CORE_FIELDS = ("acno", "ifsc", "date", "amount", "name")
 
 
@@ -45,3 +47,55 @@ def conform(df: DataFrame, table: str) -> DataFrame:
         return (F.coalesce(c, F.lit(defaults[f.name])) if f.name in defaults else c).alias(f.name)
 
     return df.select(*[column(f) for f in schema(table)])
+
+
+#: Columns that may be null, least and most characters of texts, and vocabularies.
+OPTIONAL = {
+    "documents": ("created_by_user_id",), "extracted_fields": ("bounding_box",), "predictions": ("bounding_box",),
+    "validation_results": ("field_name", "reviewed_by_user_id", "review_resolution", "reviewed_at"), "audit_logs": ("user_id", "details", "ip_address", "resource_id"),
+    "processing_runs": ("stage_latencies",),
+}
+LENGTHS: dict[str, dict[str, tuple[int, int]]] = {
+    "users": {"username": (3, 50), "email": (5, 120), "hashed_password": (1, 255), "role": (1, 32)},
+    "documents": {"cheque_identifier": (1, 128), "image_path": (1, 512), "image_hash": (64, 64), "source_dataset": (1, 64), "status": (1, 32)},
+    "processing_runs": {"status": (1, 32), "detector_version": (1, 128), "recognizer_version": (1, 128), "ocr_version": (1, 128)},
+    "predictions": {"stage": (1, 64), "model_name": (1, 128), "model_version": (1, 64), "field_name": (1, 64)},
+    "extracted_fields": {"field_name": (1, 64), "extraction_method": (1, 32), "confidence_tier": (1, 16)},
+    "validation_results": {"field_name": (1, 64), "check_type": (1, 64), "validation_status": (1, 32), "review_priority": (1, 16), "review_resolution": (1, 32)},
+    "audit_logs": {"username": (1, 64), "action": (1, 64), "resource_type": (1, 64)},
+}
+VOCABULARIES: dict[str, dict[str, tuple[str, ...]]] = {
+    "users": {"role": ("TELLER", "AUDITOR", "ADMIN", "EMPLOYEE", "ANALYST", "REVIEWER")},
+    "documents": {"status": STATUSES},
+    "processing_runs": {"status": ("SUCCESS", "PARTIAL", "ERROR")},
+    "extracted_fields": {"extraction_method": METHODS, "confidence_tier": TIERS},
+    "validation_results": {"validation_status": OUTCOMES, "review_priority": PRIORITIES, "review_resolution": RESOLUTIONS},
+}
+LEAST = {"documents": {"image_width": 1, "image_height": 1}, "processing_runs": {"total_latency_ms": 0}}
+
+
+def rules(table: str, columns: list[str] | None = None) -> dict[str, Column]:
+    """What must hold of a row of the table, by name: texts' lengths, vocabularies, confidences within 0 and 1, least numbers, and
+    no null but where one may be. A column that may be null has to hold its other rules only if it is not; ``columns`` leaves out
+    the rules of columns that a table lacks."""
+    may = OPTIONAL.get(table, ())
+    made: dict[str, Column] = {}
+    for f in schema(table):
+        c = f.name
+        if columns is not None and c not in columns:
+            continue
+        told: dict[str, Column] = {}
+        if c in LENGTHS.get(table, {}):
+            least, most = LENGTHS[table][c]
+            told[f"{c}_length"] = F.length(c).between(least, most)
+        if c in VOCABULARIES.get(table, {}):
+            told[f"{c}_word"] = F.col(c).isin(*VOCABULARIES[table][c])
+        if c.endswith("confidence"):
+            told[f"{c}_range"] = F.col(c).between(0, 1)
+        if c in LEAST.get(table, {}):
+            told[f"{c}_least"] = F.col(c) >= LEAST[table][c]
+        if c not in may:
+            made[f"{c}_null"] = F.col(c).isNotNull()
+        # a null is told once, as a null
+        made |= {name: F.col(c).isNull() | ok for name, ok in told.items()}
+    return made

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import ast
+import json
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geometry import box
 from ..functions.validate import reject_reason
+from ..schemas import BOX
 from . import images
 
 
@@ -19,24 +24,50 @@ def image_files(spark: SparkSession, path: str, pattern: str = "*.{tif,tiff}") -
     return images.facts(files.select(sample.alias("sample_id"), "path", "length", F.sha2("content", 256).alias("image_hash"), "content"))
 
 
+def there(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder, or a pattern for some, is there."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(place.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(place))
+
+
 def labelled_images(spark: SparkSession, paths: dict[str, str], boxes: tuple[str, ...]) -> DataFrame:
-    """Parquet files of one split each, with image.bytes and a struct column for each box: annotations as a map, rows without
-    bytes skipped."""
-    out = None
+    """Parquet files of one split each, with image.bytes and a struct column for each box: annotations as a map, size and mode
+    from the image's header, rows without bytes skipped. A split whose file is not there is left out; without any, no rows."""
+    out = spark.createDataFrame([], f"image_hash string, source_split string, annotations map<string,{BOX}>, length long, format string, width int, height int, mode string, fault string")
     for split, path in paths.items():
+        if not there(spark, path):
+            continue
         rows = spark.read.parquet(path).where("image.bytes is not null")
         held = F.map_from_arrays(F.array(*map(F.lit, boxes)), F.array(*[box(F.col(b)["xmin"], F.col(b)["ymin"], F.col(b)["xmax"], F.col(b)["ymax"]) for b in boxes]))
-        made = rows.select(F.sha2("image.bytes", 256).alias("image_hash"), F.lit(split).alias("source_split"), F.map_filter(held, lambda _, v: v["xmin"].isNotNull()).alias("annotations"))
-        out = made if out is None else out.unionByName(made)
+        made = rows.select(F.sha2("image.bytes", 256).alias("image_hash"), F.lit(split).alias("source_split"), F.map_filter(held, lambda _, v: v["xmin"].isNotNull()).cast(f"map<string,{BOX}>").alias("annotations"), F.octet_length("image.bytes").cast("long").alias("length"), F.col("image.bytes").alias("content"))
+        out = out.unionByName(images.facts(made))
     return out
 
 
-def prompted_rows(rows: DataFrame, exact: str, keywords: str, query: str = "query", answer: str = "answer") -> DataFrame:
-    """Classifies rows by their prompt (one exact text, else a keyword pattern, else other) and parses literal answers; an answer
-    that is no dictionary stays as raw text."""
+def _literal(answers: pd.Series) -> pd.Series:
+    """Dictionaries written as Python literals: names with their values as text, what is nested as JSON; null if it is none."""
+
+    def one(text: str | None) -> dict | None:
+        try:
+            told = ast.literal_eval(text) if text else None
+        except (ValueError, SyntaxError, MemoryError, RecursionError):
+            return None
+        if not isinstance(told, dict):
+            return None
+        shown = lambda v: v if v is None or isinstance(v, str) else json.dumps(v, ensure_ascii=False, default=str)
+        return {str(k): shown(v) for k, v in told.items()}
+
+    return answers.map(one)
+
+
+def prompted_rows(rows: DataFrame, exact: str, keywords: str, query: str = "query", answer: str = "answer", category: str | None = None) -> DataFrame:
+    """Classifies rows by their prompt (one exact text, else a keyword pattern, else other), keeps one category if it is given, and
+    parses answers that are literal dictionaries, nested or with None, True and numbers; any other answer stays as raw text."""
     kind = F.when(F.trim(query) == exact, "handwriting").when(F.rlike(F.lower(query), F.lit(keywords)), "document").otherwise("other")
-    parsed = F.from_json(answer, "map<string,string>", {"allowSingleQuotes": "true"})
-    return rows.withColumn("category", kind).withColumn("ground_truth", F.coalesce(parsed, F.create_map(F.lit("raw_text"), F.col(answer))))
+    kept = rows.withColumn("category", kind)
+    kept = kept if category is None else kept.where(F.col("category") == category)
+    parsed = F.pandas_udf(_literal, "map<string,string>")(F.col(answer))
+    return kept.withColumn("ground_truth", parsed).withColumn("ground_truth", F.coalesce("ground_truth", F.create_map(F.lit("raw_text"), F.col(answer))))
 
 
 def manifest_json(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -217,7 +217,39 @@ def test_schemas(spark):
 
 
 def test_report(seed):
-    fields = kpi.field_performance(seed["fields"].select("*", F.lit(0.9).alias("detection_confidence"), F.lit(0.9).alias("extraction_confidence"), F.lit("ocr").alias("extraction_method"), F.lit("HIGH").alias("confidence_tier")))
+    fields = seed["fields"].select("*", F.lit(0.9).alias("detection_confidence"), F.lit(0.9).alias("extraction_confidence"), F.lit("ocr").alias("extraction_method"), F.lit("HIGH").alias("confidence_tier"))
     amounts = seed["fields"].where("field_name = 'amount'")
-    told = sinks.executive_markdown(kpi.executive_summary(seed["docs"], amounts, seed["checks"], seed["runs"]), sinks.field_report(fields), kpi.by_status(seed["docs"]))
-    assert "# Executive report" in told and "missed" in told
+    told = sinks.executive_markdown(kpi.executive_record(seed["docs"], amounts, fields, seed["checks"], seed["runs"]), "2026-01-01")
+    assert [x for x in told.splitlines() if x.startswith("## ")] == [f"## {i}. {t}" for i, t in enumerate(("Headline figures", "Statuses", "Amounts", "Confidences", "Fields", "Checks", "Notice"), 1)]
+    assert sum(": met |" in x or ": missed |" in x for x in told.splitlines()) == 5
+    assert sum(x.startswith("- ") and "%)" in x for x in told.splitlines()) == seed["docs"].select("status").distinct().count()
+
+
+def test_schema_rules(spark):
+    """Each kind of rule of each table is broken once."""
+    for name in schemas.TABLES:
+        rules = schemas.rules(name)
+        # a table of nulls breaks the null rules and no other
+        row = spark.createDataFrame([tuple([None] * len(schemas.schema(name)))], schemas.schema(name))
+        assert set(datasets.violations(row, rules).first()["violations"]) == {r for r in rules if r.endswith("_null")}
+    users = spark.createDataFrame([(1, "ab", "a@b", "x", "KING", True, None, None)], schemas.schema("users"))
+    assert datasets.violations(users, schemas.rules("users", ["username", "email", "role"])).first()["violations"] == ["username_length", "email_length", "role_word"]
+    runs = spark.createDataFrame([("DONE", -1.0)], "status string, total_latency_ms double")
+    assert datasets.violations(runs, schemas.rules("processing_runs", runs.columns)).first()["violations"] == ["status_word", "total_latency_ms_least"]
+
+
+def test_literal_answers(spark):
+    rows = [("Read it", "{'a': None, 'b': True, 'c': {'d': [1, 2]}, 'e': 'x'}"), ("Read it", "{'a': "), ("the CHEQUE date", "[1]"), ("else", None)]
+    told = scans.prompted_rows(spark.createDataFrame(rows, "query string, answer string"), "Read it", "cheque|payee")
+    assert [(r["category"], r["ground_truth"]) for r in told.collect()] == [
+        ("handwriting", {"a": None, "b": "true", "c": '{"d": [1, 2]}', "e": "x"}), ("handwriting", {"raw_text": "{'a': "}), ("document", {"raw_text": "[1]"}), ("other", {"raw_text": None}),
+    ]
+    assert scans.prompted_rows(spark.createDataFrame(rows, "query string, answer string"), "Read it", "cheque|payee", category="document").count() == 1
+
+
+def test_splits_that_are_absent(spark, tmp_path):
+    path = str(tmp_path / "train.parquet")
+    spark.range(2).selectExpr("named_struct('bytes', CASE WHEN id = 0 THEN CAST('x' AS BINARY) END) AS image", "named_struct('xmin', 1, 'ymin', 2, 'xmax', 3, 'ymax', 4) AS amount").write.parquet(path)
+    rows = scans.labelled_images(spark, {"train": path, "val": str(tmp_path / "none.parquet")}, ("amount",)).collect()
+    assert [(r["source_split"], r["annotations"]["amount"]["xmax"], r["fault"]) for r in rows] == [("train", 3, "unknown format")]
+    assert scans.labelled_images(spark, {}, ("amount",)).count() == 0
