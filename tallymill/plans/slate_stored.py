@@ -159,3 +159,9 @@ def resolutions_with_corrections(fields_, checks_, documents_):
     made = mutate.resolve_documents(documents, fields, checks, wanted, told, F.lit("2026-01-01 00:00:00").cast("timestamp"))
     out = made["fields"].select(F.lit("field").alias("what"), "cheque_id", F.col("field_name").alias("name"), F.col("normalized_value").alias("value"), F.col("extraction_method").alias("method"))
     return out.union(made["checks"].select(F.lit("check"), "cheque_id", F.col("id").cast("string"), "review_resolution", F.col("reviewed_by_user_id").cast("string")))
+
+
+@slate("SELECT image_hash, sample_id FROM samples_ QUALIFY count(*) OVER (PARTITION BY image_hash) > 1")
+def duplicate_members(samples_):
+    """The members of every group of duplicates as rows, whatever a group's size."""
+    return datasets.duplicate_members(samples_)
