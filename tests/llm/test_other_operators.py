@@ -100,7 +100,7 @@ def _sized(df):
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_matches_sql(spark, sf_dir, name):
     con = duckdb.connect()
-    for t in ("conversations", "documents", "pages"):
+    for t in ("benchmark", "conversations", "documents", "embeddings", "pages"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     df = queries.queries()[name](spark, sf_dir)
     told = con.execute(queries.oracle_sql()[name])
