@@ -9,7 +9,8 @@ cuts that keep it are taken as near to equal shares as groups allow. A group lar
 shard of its own (there are fewer of those than shards) and the rest is cut as described.
 
 Null text is a group of its own: no bytes, checksum 0. Empty tables give an empty table; with fewer groups than shards some
-shards stay empty; repeated rows each get a slot. Other columns are ignored.
+shards stay empty; repeated rows each get a slot, in a row. Other columns are ignored. A text of any length is read once, for its
+size, checksum and hash. Slots follow cells by a hash of id and text, so one id, null ids included, is spread like many.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 from .tables import settle
 
 #: Bits of the hash that the first histogram leaves out, how many more each finer one has, spans of hashes that are summed
-#: again at once, how many times the mean a range that stands out has, and rows in a cell of slots.
-FIRST_BITS, FINER_BITS, SPANS, OUTSTANDING, CELL_ROWS = 48, 8, 64, 8, 4096
+#: again at once, how many times the mean a range that stands out has, rows in a cell of slots, and rows alike that are made at once.
+FIRST_BITS, FINER_BITS, SPANS, OUTSTANDING, CELL_ROWS, PIECE_ROWS = 48, 8, 64, 8, 4096, 65536
 
 
 @dataclass
@@ -242,9 +243,16 @@ def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: s
     rows = settle(docs.select(F.col(id_col).alias("__id"), (F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 8).alias("size"), F.crc32(F.coalesce(text, F.lit(""))).alias("text_crc32"), F.xxhash64(F.coalesce(text, F.lit("")), text.isNull()).alias("hash")))
     alone, lasts, counts, _ = plan(rows, shards)
     cells = F.element_at(F.array(*[F.lit(max(1, -(-n // CELL_ROWS))) for n in counts]), F.col("shard") + 1)
-    dealt = rows.withColumn("shard", shard_of(alone, lasts)).withColumn("cell", F.pmod(F.xxhash64("__id", F.lit(3)), cells).cast("int"))
-    before = Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    starts = dealt.groupBy("shard", "cell").agg(F.count("*").alias("n")).select("shard", "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    numbered = dealt.withColumn("n", F.row_number().over(Window.partitionBy("shard", "cell").orderBy("__id", "hash")))
-    out = numbered.join(starts, ["shard", "cell"])
-    return out.select(F.col("__id").alias(id_col), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("start") + F.col("n") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    # rows alike in id and text are one line with a number, so no id and no text is a window of its own
+    alike = rows.groupBy("__id", "hash", "size", "text_crc32").agg(F.count("*").alias("rows")).withColumn("shard", shard_of(alone, lasts))
+    dealt = settle(alike.withColumn("cell", F.pmod(F.xxhash64("__id", "hash", F.lit(3)), cells).cast("int")))
+    earlier = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda n, w: F.coalesce(F.sum(n).over(w), F.lit(0))
+    starts = dealt.groupBy("shard", "cell").agg(F.sum("rows").alias("n")).select("shard", "cell", before("n", earlier("shard").orderBy("cell")).alias("start"))
+    placed = dealt.withColumn("first", before("rows", earlier("shard", "cell").orderBy("__id", "hash"))).join(starts, ["shard", "cell"])
+    # lines of many rows become rows in pieces, dealt to all tasks
+    piece = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("rows") - 1) / PIECE_ROWS)))
+    pieces = placed.select("*", piece.alias("piece")).repartition("__id", "hash", "piece")
+    place = F.explode(F.sequence(F.col("piece") * PIECE_ROWS, F.least((F.col("piece") + 1) * PIECE_ROWS, F.col("rows")) - 1))
+    out = pieces.select("*", place.alias("place"))
+    return out.select(F.col("__id").alias(id_col), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("start") + F.col("first") + F.col("place")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

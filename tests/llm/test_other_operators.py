@@ -39,6 +39,19 @@ def test_sharding(spark, sf_dir):
     assert max(sizes.values()) <= max(group, sum(sizes.values()) / 24 + group)
 
 
+def test_sharding_hot_ids(spark, monkeypatch):
+    """A third of the rows alike, a third with one id and a third without id: all slots, whatever pieces and cells are."""
+    monkeypatch.setattr(sharding, "PIECE_ROWS", 7)
+    monkeypatch.setattr(sharding, "CELL_ROWS", 16)
+    rows = [(1, "same")] * 200 + [(2, f"text {i}") for i in range(200)] + [(None, f"other {i % 150}") for i in range(200)]
+    out = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), 5).collect()
+    assert sorted((r["doc_id"] or 0, r["text_crc32"]) for r in out) == sorted((i or 0, zlib.crc32(t.encode())) for i, t in rows)
+    for s in range(5):
+        assert sorted(r["slot"] for r in out if r["shard"] == s) == list(range(sum(r["shard"] == s for r in out)))
+    alike = sorted(r["slot"] for r in out if r["doc_id"] == 1)
+    assert alike == list(range(alike[0], alike[0] + 200))
+
+
 def test_sharding_edges(spark):
     rows = [(i, None if i % 50 == 0 else "" if i % 50 == 1 else "hot" * 40 if i % 3 == 0 else f"t{i % 70}" * (i % 9 + 1), "clash") for i in range(600)]
     df = spark.createDataFrame(rows, "doc_id long, text string, size string")
