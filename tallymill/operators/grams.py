@@ -57,8 +57,8 @@ class Grams:
 
     def compact(self, batch: int) -> None:
         """All postings as those of one batch, the last; the folders of the batches before it go once it is written. If it is lost
-        half-way, postings lie in two places, which changes no result, and it can be run again."""
-        lists = self.posted().where(F.col("batch") < batch).groupBy("gram").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("blocks")))).alias("blocks"))
+        half-way, postings lie in two places, which changes no result, and it can be run again, for it keeps what it has."""
+        lists = self.posted().where(F.col("batch") <= batch).groupBy("gram").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("blocks")))).alias("blocks"))
         old = [r["batch"] for r in self.posted().where(F.col("batch") < batch).select("batch").distinct().collect()]
         self.write(lists, batch)
         for b in old:
@@ -71,9 +71,11 @@ class Grams:
         wanted = sorted({low[i : i + SIZE] for i in range(len(low) - SIZE + 1)})
         if not wanted:
             return None
-        # a row for each trigram of the term
-        parts = self.spark.createDataFrame([(g,) for g in wanted], "gram string").select(self.part(F.col("gram")).alias("part")).distinct().collect()
-        found = self.posted().where(F.col("part").isin([r["part"] for r in parts]) & F.col("gram").isin(wanted))
+        # hashes of literals are worked out with the plan, so folders are pruned
+        own = F.lit(False)
+        for g in wanted:
+            own = own | (F.col("part") == self.part(F.lit(g)))
+        found = self.posted().where(own & F.col("gram").isin(wanted))
         lists = found.groupBy("gram").agg(F.array_distinct(F.flatten(F.collect_list("blocks"))).alias("blocks"))
         by_rarity = F.array_sort(F.collect_list(F.struct(F.size("blocks").alias("n"), "blocks")))
         shared = F.aggregate(F.slice("lists", 2, len(wanted)), F.col("lists")[0]["blocks"], lambda left, x: F.array_intersect(left, x["blocks"]))

@@ -62,10 +62,19 @@ def test_reads_matching_blocks(spark, kept, tmp_path):
     assert grams.search(stored.stored(), VALUES, "quixotic").count() == 0
     before = {r["gram"]: sorted(r["blocks"]) for r in grams.posted().groupBy("gram").agg(F.array_distinct(F.flatten(F.collect_list("blocks"))).alias("blocks")).collect()}
     grams.compact(9)
+    grams.compact(9)
     assert {r["gram"]: r["blocks"] for r in grams.posted().collect()} == before
     assert {r["batch"] for r in grams.posted().select("batch").distinct().collect()} == {9}
 
 
+def test_reads_own_folders(kept):
+    _, grams = kept
+    own = grams.posted().where(F.col("part") == grams.part(F.lit("123"))).where("gram = '123'")
+    plan = own._jdf.queryExecution().executedPlan().toString()
+    assert "part#" in plan.split("PartitionFilters: [")[1].split("]")[0] and "xxhash64" not in plan
+    assert own.count() == 1
+
+
 def test_nothing_posted(spark, tmp_path):
     grams = Grams(spark, str(tmp_path / "none"))
     assert grams.blocks("abc") == [] and grams.blocks("ab") is None
