@@ -54,11 +54,11 @@ def with_run_id(rows: DataFrame, runs: DataFrame, otherwise: int = 1) -> DataFra
     return rows.join(earliest_run(runs), "cheque_id", "left").withColumn("run_id", F.coalesce("run_id", F.lit(otherwise)))
 
 
-def search(documents: DataFrame, fields: DataFrame, term: str, identifier: str = "cheque_identifier") -> DataFrame:
-    """Documents whose identifier or any field value contains the term, in any case."""
-    needle = F.lit(term.lower())
-    hits = fields.where(F.contains(F.lower("normalized_value"), needle)).select(F.col("cheque_id").alias("id")).distinct().withColumn("__hit", F.lit(True))
-    return documents.join(hits, "id", "left").where(F.contains(F.lower(identifier), needle) | F.col("__hit")).drop("__hit")
+def search(documents: DataFrame, fields: DataFrame, term: str, identifier: str = "cheque_identifier", field_term: str | None = None) -> DataFrame:
+    """Documents whose identifier or any field value contains the term, in any case; values may be held against a term of their own."""
+    holds = lambda column, t: F.contains(F.lower(column), F.lit(t.lower()))
+    hits = fields.where(holds("normalized_value", term if field_term is None else field_term)).select(F.col("cheque_id").alias("id")).distinct().withColumn("__hit", F.lit(True))
+    return documents.join(hits, "id", "left").where(holds(identifier, term) | F.col("__hit")).drop("__hit")
 
 
 def page(documents: DataFrame, skip: int = 0, limit: int = 50, status: str | None = None, review_required: bool | None = None, ts: str = "created_at") -> DataFrame:

@@ -253,3 +253,12 @@ def test_splits_that_are_absent(spark, tmp_path):
     rows = scans.labelled_images(spark, {"train": path, "val": str(tmp_path / "none.parquet")}, ("amount",)).collect()
     assert [(r["source_split"], r["annotations"]["amount"]["xmax"], r["fault"]) for r in rows] == [("train", 3, "unknown format")]
     assert scans.labelled_images(spark, {}, ("amount",)).count() == 0
+
+
+def test_search_by_two_terms(spark):
+    """A value's term is not looked for in identifiers, nor the identifier's in values; without one both have the same term."""
+    documents = spark.createDataFrame([(1, "CHQ-771"), (2, "CHQ-8812"), (3, "CHQ-3"), (4, "CHQ-4"), (5, None)], "id long, cheque_identifier string")
+    fields = spark.createDataFrame([(3, "x8812"), (3, "88123"), (4, "a-77"), (5, "8812"), (1, None)], "cheque_id long, normalized_value string")
+    ids = lambda *a, **k: sorted(r["id"] for r in ledger.search(documents, fields, *a, **k).collect())
+    assert ids("-77", field_term="8812") == [1, 3, 5]
+    assert ids("8812") == [2, 3, 5]
