@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import dealt
+
 
 def upsert(base: DataFrame, changes: DataFrame, key: list[str]) -> DataFrame:
     """Matched rows take the changes' non-null values, unmatched changes are added. Changes have one row for each key."""
@@ -76,7 +78,9 @@ def status_changes(before: DataFrame, after: DataFrame, now: Column) -> DataFram
 
 
 def duplicates_of_key(rows: DataFrame, key: str) -> DataFrame:
-    return rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
+    """Keys that are there more than once; a task holds a bounded number of them, though nearly all rows have one of their own."""
+    keys = rows.select(key)
+    return dealt(keys, [key], keys.count()).groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
 
 
 def orphans(children: DataFrame, column: str, parents: DataFrame, key: str = "id") -> DataFrame:

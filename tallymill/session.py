@@ -16,6 +16,16 @@ def configured(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: Rows that one task is to hold at once when keys are brought together.
+ROWS_A_TASK = 500_000
+
+
+def dealt(rows: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """``n`` rows dealt by keys to as many tasks as that needs, for an aggregation by them: it then holds about ROWS_A_TASK keys in a
+    task however large the table, and none before the shuffle, where keys that hardly repeat gain nothing. Few rows stay as they are."""
+    return rows.repartition(-(-n // ROWS_A_TASK), *keys) if n > ROWS_A_TASK else rows
+
+
 def spread(df: DataFrame) -> DataFrame:
     """The table in at least as many partitions as there are cores, for costly rules over a table that is stored in fewer splits;
     one that has enough is left as it is."""

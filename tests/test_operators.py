@@ -5,7 +5,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from tallymill import schemas
+from tallymill import schemas, session
 from tallymill.operators import datasets, evaluate, kpi, ledger, mutate, review, tokens, trends
 from tallymill.sources import scans, sinks
 from tallymill.streaming import ingest
@@ -262,3 +262,15 @@ def test_search_by_two_terms(spark):
     ids = lambda *a, **k: sorted(r["id"] for r in ledger.search(documents, fields, *a, **k).collect())
     assert ids("-77", field_term="8812") == [1, 3, 5]
     assert ids("8812") == [2, 3, 5]
+
+
+def test_repeated_keys_by_task(spark, monkeypatch):
+    """Keys meet in as many tasks as they need, and no task holds those of its own part of the table before that."""
+    monkeypatch.setattr(session, "ROWS_A_TASK", 100)
+    rows = spark.range(0, 1000, 1, 2).select((F.col("id") % 995).alias("key"), "id")
+    twice = mutate.duplicates_of_key(rows, "key")
+    assert sorted((r["key"], r["n"]) for r in twice.collect()) == [(k, 2) for k in range(5)]
+    plan = twice._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "ENSURE_REQUIREMENTS" not in plan and "10)" in plan
+    monkeypatch.setattr(session, "ROWS_A_TASK", 1000)
+    assert "REPARTITION_BY_NUM" not in mutate.duplicates_of_key(rows, "key")._jdf.queryExecution().executedPlan().toString()
