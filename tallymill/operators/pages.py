@@ -5,7 +5,8 @@ pages are filtered by. An offset is located in these counts, and only the ranges
 also start behind the last row of the page before it (``after``), which costs the same at any depth and skips or repeats no row if
 rows were added meanwhile.
 
-Ranges have about ``per_range`` rows each, by splitters that Spark samples; equal timestamps are split by id. Rows without a timestamp come
+Ranges have about ``per_range`` rows each, or more if there would be over MOST_RANGES of them, by splitters that Spark samples; what reaches
+the driver (splitters, counts, one result a range) is bounded so, and a page still sorts a thousandth of the list. Equal timestamps are split by id. Rows without a timestamp come
 last, as in a sort; an empty list has empty pages. The counts have a row for each range and combination of facets, so facets are columns of few values.
 """
 
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 from .prefix import PART, ranges
 
 RANGE = "range"
+#: Folders, tasks and rows of counts at most, by combination of facets.
+MOST_RANGES = 1024
 
 
 class Pages:
@@ -31,8 +34,8 @@ class Pages:
         return [F.desc_nulls_last(self.ts), F.desc_nulls_last(self.key)]
 
     def store(self, rows: DataFrame, per_range: int = 1_000_000) -> None:
-        """Writes the list and its counts, in ranges of about ``per_range`` rows."""
-        parts = max(1, -(-rows.count() // per_range))
+        """Writes the list and its counts, in ranges of about ``per_range`` rows, MOST_RANGES at most."""
+        parts = min(MOST_RANGES, max(1, -(-rows.count() // per_range)))
         dealt = ranges(rows, self.order(), parts).withColumnRenamed(PART, RANGE)
         # a range is one task's rows already
         dealt.sortWithinPartitions(RANGE, *self.order()).write.mode("overwrite").partitionBy(RANGE).parquet(f"{self.path}/rows")

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallymill.operators import ledger
+from tallymill.operators import pages as pages_module
 from tallymill.operators.pages import RANGE, Pages
 from tallymill.plans.roles import table
 
@@ -80,3 +81,15 @@ def test_one_row_and_none(spark, tmp_path):
     none = Pages(spark, str(tmp_path / "none"))
     none.store(one.limit(0))
     assert none.page().count() == 0 and none.total() == 0 and none.after(None, 1).columns == one.columns
+
+
+def test_ranges_are_bounded(spark, tmp_path, monkeypatch):
+    """A longer list has longer ranges, not ever more of them."""
+    monkeypatch.setattr(pages_module, "MOST_RANGES", 8)
+    rows = spark.range(500).select("id", F.timestamp_seconds(F.col("id") % 97).alias("created_at"), F.lit("VERIFIED").alias("status"), (F.col("id") % 3 == 0).alias("review_required"))
+    pages = Pages(spark, str(tmp_path / "many"))
+    pages.store(rows, 10)
+    assert len(pages.counts({})) <= 8 and pages.total() == 500
+    wanted = sorted(((r["created_at"], r["id"]) for r in rows.collect()), reverse=True)
+    for skip in (0, 240, 490):
+        assert [(r["created_at"], r["id"]) for r in pages.page(skip, 25).collect()] == wanted[skip : skip + 25]
