@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..session import ROWS_A_TASK, dealt
 from .mutate import last_changes
 
 BUCKET, DELETED, NAMED = "bucket", "deleted", "named"
@@ -57,7 +58,7 @@ class Buckets:
         special = [c for c in (DELETED, NAMED) if c in changes.columns]
         given = [c for c in self.schema.names if c in changes.columns and c not in self.key]
         new = changes.select(*self.key, *given, *special, *([F.col(order).alias("__order")] if order else []))
-        new = last_changes(new, self.key, "__order").drop("__order") if order else new
+        new = last_changes(dealt(new, self.key, new.count()), self.key, "__order").drop("__order") if order else new
         new = new.select(*self.key, F.struct(*given, *special, F.lit(1).alias("one")).alias("__new"), self.bucket()).where(F.col(self.key[0]).isNotNull())
         # as many numbers as there are buckets at most
         touched = sorted(r[BUCKET] for r in new.select(BUCKET).distinct().collect())
@@ -85,16 +86,19 @@ class Buckets:
         """Replaces buckets by rows with their bucket. Rows are written beside the table and checked first, so the table is not read
         while it changes; a bucket without rows becomes an empty one."""
         staged = f"{self.path}/staged"
-        merged.repartition(min(len(touched), self.buckets) or 1, BUCKET).write.mode("overwrite").parquet(staged)
+        merged.write.mode("overwrite").parquet(staged)
         rows = self.spark.read.schema(merged.schema).parquet(staged)
-        again = rows.groupBy(*self.key).agg(F.count("*").alias("n")).where("n > 1").limit(1).collect()
+        # as many numbers as there are buckets at most
+        left = {r[BUCKET]: r["count"] for r in rows.groupBy(BUCKET).count().collect()}
+        again = dealt(rows.select(*self.key), self.key, sum(left.values())).groupBy(*self.key).agg(F.count("*").alias("n")).where("n > 1").limit(1).collect()
         if again:
             raise ValueError(f"several rows for one key: {again[0].asDict()}")
-        left = {r[BUCKET] for r in rows.select(BUCKET).distinct().collect()}
         if left:
-            spread = rows.repartition(len(left), BUCKET)
+            # a large bucket is several files, so that no task sorts a whole one
+            files = -(-max(left.values()) // ROWS_A_TASK)
+            spread = rows.repartition(len(left) * files, BUCKET, F.pmod(F.xxhash64(F.lit(files), *self.key), F.lit(files)))
             spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(f"{self.path}/data")
         hadoop = self.spark._jvm.org.apache.hadoop.fs
-        for b in set(touched) - left:
+        for b in set(touched) - set(left):
             folder = hadoop.Path(f"{self.path}/data/{BUCKET}={b}")
             folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)

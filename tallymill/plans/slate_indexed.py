@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators.buckets import Buckets
 from ..operators.grams import Grams
 from ..operators.pages import Pages
+from ..session import dealt
 from ..sources.skipping import Skipping
 from .slate import slate
 from .slate_stored import _folder
@@ -33,7 +34,7 @@ def search_by_grams(documents_, fields_):
     out = found[0]
     for more in found[1:]:
         out = out.union(more)
-    return out.distinct()
+    return dealt(out, ["term", "id"], stored.rows().count()).distinct()
 
 
 PLACE = datetime.datetime(1996, 6, 1)

@@ -5,6 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from tallymill.operators import buckets
 from tallymill.operators.buckets import Buckets
 
 SCHEMA = "id long, status string, score double"
@@ -78,3 +79,14 @@ def test_repeated_keys_and_lost_batches(spark, table, monkeypatch):
     monkeypatch.setattr(Buckets, "replace", replace)
     assert table.merge(changes, 2)
     assert state(table) == before | {3: ("c", 2.0), 900: ("d", 3.0)}
+
+
+def test_large_buckets_are_several_files(spark, tmp_path, monkeypatch):
+    """No task holds a whole bucket of a table that grows."""
+    monkeypatch.setattr(buckets, "ROWS_A_TASK", 20)
+    made = Buckets(spark, str(tmp_path / "large"), "id long, n long", ["id"], 2)
+    made.merge(spark.range(400).select("id", (F.col("id") * 3).alias("n")), 1)
+    made.merge(spark.range(390, 410).select("id", F.lit(7).alias("n")), 2)
+    assert sorted((r["id"], r["n"]) for r in made.rows().collect()) == [(i, 7 if i >= 390 else 3 * i) for i in range(410)]
+    sizes = made.stored().groupBy(F.col("_metadata.file_path"), "bucket").count().collect()
+    assert len({r["bucket"] for r in sizes}) == 2 and len(sizes) > 8 and max(r["count"] for r in sizes) < 100
