@@ -72,6 +72,7 @@ def lookups_by_files(documents_, events):
     kept.store(documents_.select("id", F.sha2("cheque_identifier", 256).alias("image_hash")), 5000)
     batch = events.select("event_id", F.sha2(F.concat(F.lit("CHQ-"), (F.col("event_id") * 3).cast("string")), 256).alias("image_hash"))
     one = lambda text: kept.lookup(hashlib.sha256(text.encode()).hexdigest())
-    told = {"known": kept.known(batch).withColumnRenamed("event_id", "id"), "new": kept.new(batch).withColumnRenamed("event_id", "id"), "looked up": one("CHQ-7"), "absent": one("none")}
-    parts = [rows.select(F.lit(name).alias("what"), "id") for name, rows in told.items()]
-    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+    told = kept.told(batch).select(F.when(F.col("known"), "known").otherwise("new").alias("what"), F.col("event_id").alias("id"))
+    looked_up = {"looked up": one("CHQ-7"), "absent": one("none")}
+    parts = [rows.select(F.lit(name).alias("what"), "id") for name, rows in looked_up.items()]
+    return told.union(parts[0]).union(parts[1])

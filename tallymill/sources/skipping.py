@@ -106,6 +106,11 @@ class Skipping:
         """Names of the files that may hold one of the keys; at most as many as the table has."""
         return sorted(r[FILE] for r in self.candidates(keys).select(FILE).distinct().collect())
 
+    def told(self, batch: DataFrame, name: str = "known") -> DataFrame:
+        """All rows of a batch with whether the table holds their key (null keys: no), by one choice of files and one join."""
+        kept = self.read(self.files(batch)).select(self.key).distinct().withColumn(name, F.lit(True))
+        return batch.join(kept, self.key, "left").withColumn(name, F.coalesce(name, F.lit(False)))
+
     def known(self, batch: DataFrame) -> DataFrame:
         """The rows of a batch whose key the table holds."""
         return batch.join(self.read(self.files(batch)).select(self.key), self.key, "left_semi")

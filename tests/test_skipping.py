@@ -72,3 +72,15 @@ def test_one_key_in_many_files(spark, tmp_path):
     assert held.candidates(spark.createDataFrame([(450,)], "id long")).count() >= 4
     assert sorted(r["n"] for r in held.lookup(450).collect()) == list(range(0, 900, 3))
     assert held.known(rows).count() == 900 and held.new(rows).count() == 0
+
+
+def test_a_batch_is_told_at_once(spark, kept, monkeypatch):
+    """Known and new rows by one choice of files; repeated keys of table or batch multiply nothing."""
+    rows, held = kept
+    chosen, files = [], Skipping.files
+    monkeypatch.setattr(Skipping, "files", lambda self, keys: chosen.append(1) or files(self, keys))
+    batch = rows.where("id % 5 = 0").select("image_hash", "id").union(spark.range(50).select(F.sha2(F.concat(F.lit("other"), "id"), 256), "id")).union(spark.createDataFrame([(None, 3)], "image_hash string, id long"))
+    told = held.told(batch.union(batch))
+    assert told.columns == ["image_hash", "id", "known"] and len(chosen) == 1
+    known = batch.join(rows.select("image_hash").distinct(), "image_hash", "left_semi").count()
+    assert told.where("known").count() == 2 * known and told.where("not known").count() == 2 * (batch.count() - known)
